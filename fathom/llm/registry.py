@@ -7,7 +7,8 @@ from fathom.llm.mixing import op9_mix_schedule
 from fathom.llm.quality import op6_quality_rules, quality_sql
 from fathom.llm.sharding import op2_stratified_shards
 from fathom.llm.simhash import op4_simhash_components
+from fathom.llm.substring_dedup import op1_run_length_dedup
 from fathom.llm.url_filter import OP10_SQL, op10_url_rules
 
-QUERIES = {f.__name__: f for f in (op2_stratified_shards, op3_winnow_decontamination, op4_simhash_components, op6_quality_rules, op9_mix_schedule, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_run_length_dedup, op2_stratified_shards, op3_winnow_decontamination, op4_simhash_components, op6_quality_rules, op9_mix_schedule, op10_url_rules)}
 SQL = {"op3_winnow_decontamination": OP3_SQL, "op6_quality_rules": quality_sql(), "op10_url_rules": OP10_SQL}
