@@ -62,3 +62,14 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list[str], valu
     inside = W.partitionBy(*group, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     part = df.withColumn("_fx_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return part.join(start, [*group, bucket]).withColumn(out, F.col("_fx_start") + F.col("_fx_in")).drop("_fx_start", "_fx_in")
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """_fx_row (all columns), doc_id, text, source where there, and the row's key _fx_k, _fx_th: of doc_id and text."""
+    named = [c for c in ("doc_id", "text", "source") if c in docs.columns]
+    return docs.select(F.struct("*").alias("_fx_row"), *named, group_key("doc_id").alias("_fx_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_fx_th"))
+
+
+def drop_keys(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of with_key() whose key is not in gone. What is to go is a written table, so Spark knows its size and broadcasts it only where small."""
+    return keyed.join(stage(gone.select("_fx_k", "_fx_th").distinct(), "gone"), ["_fx_k", "_fx_th"], "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import stage, table
+from fathom.llm._common import drop_keys, group_key, stage, table, with_key
 
 SPAN = 10
 K = 4
@@ -134,6 +134,12 @@ def op3_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without a benchmark window, with all their columns."""
+    hit = contamination(docs, benchmark).filter("contaminated").select(group_key("doc_id").alias("_fx_k"), F.col("th").alias("_fx_th"))
+    return drop_keys(with_key(docs), hit).select("_fx_row.*")
+
+
 OP3_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from fathom.llm._common import WORD, group_key, running, stage, table
+from fathom.llm._common import WORD, group_key, running, stage, table, with_key
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -97,5 +97,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     return out.select(*keep, "source", "size", "source_size", "target", F.coalesce("_fx_taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mix as rows: each row of docs as often as the schedule takes its words, to the nearest whole number, with all its columns."""
+    keyed = with_key(docs)
+    copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)
+    plan = mix(keyed, weights, keep=("_fx_k", "_fx_th")).groupBy("_fx_k", "_fx_th").agg(F.sort_array(F.collect_list(copies), asc=False).alias("_fx_times"))
+    plan = stage(plan.filter(F.get("_fx_times", F.lit(0)) > 0), "mix-plan")
+    again = lambda df, n: df.select("_fx_row", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_fx_copy")).select("_fx_row.*")
+    once = plan.filter(F.size("_fx_times") == 1)
+    out = again(keyed.join(once, ["_fx_k", "_fx_th"]), F.get("_fx_times", F.lit(0)))
+    # Rows that repeat wholly share a key: each takes one of the key's entries.
+    if not (many := plan.filter(F.size("_fx_times") > 1)).isEmpty():
+        nth = F.row_number().over(W.partitionBy("_fx_k", "_fx_th").orderBy(F.hash("_fx_row")))
+        numbered = keyed.join(many, ["_fx_k", "_fx_th"]).withColumn("_fx_n", F.get("_fx_times", nth - 1)).filter("_fx_n > 0")
+        out = out.union(again(numbered, F.col("_fx_n")))
+    return out
+
+
 def op9_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -135,3 +135,12 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {tests}) AS kept,
   round(mean_word_chars_x, 6) AS mean_word_chars, round(symbol_ratio_x, 6) AS symbol_ratio, round(stop_ratio_x, 6) AS stop_ratio, round(shout_ratio_x, 6) AS shout_ratio, round(echo_ratio_x, 6) AS echo_ratio, round(dup_line_ratio_x, 6) AS dup_line_ratio
 FROM x"""
+
+
+def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    df = measures(docs.select(F.struct("*").alias("_fx_row"), "text"))
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    # Catalyst would push a filter below the projections and repeat their expressions in it; it leaves one above a row id.
+    df = df.withColumn("_fx_ok", ~failed & verdict(thresholds)).withColumn("_fx_id", F.monotonically_increasing_id())
+    return df.filter("_fx_ok and _fx_id >= 0").select("_fx_row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import stage, table
+from fathom.llm._common import drop_keys, stage, table, with_key
 from fathom.llm.components import components
 
 SHINGLE = 4
@@ -193,22 +193,38 @@ def links(fps: DataFrame) -> DataFrame:
     return _compare_buckets(rows.join(hot, "bucket", "left_anti")).union(_compare_buckets(tiled))
 
 
-def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
-    """`keep`, doc_id, fp, component_id (the smallest doc_id in the group) for every row of docs.
+def near_duplicates(docs: DataFrame, *keep: str, roots: bool = False) -> DataFrame:
+    """`keep`, doc_id, fp, component_id (the smallest doc_id in the group) for every row of docs; with roots also root, the group's own name.
 
     A null or wordless text has fingerprint 0 and is linked like any other. Null doc_ids never are the
     smallest unless a group has no other; repeated rows are in one group. An empty table gives no rows.
     """
     rows = stage(with_fingerprint(docs, "doc_id", *keep), "fingerprints")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = components(links(fps.select("fp"))).withColumnRenamed("node", "fp")
+    rooted = fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id")
+    named = stage(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id", *["root"] * roots)
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = near_duplicates(table(spark, sf_dir, "documents"))
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest doc_id (null last), with all its columns."""
+    keyed = with_key(docs)
+    found = stage(near_duplicates(keyed, "_fx_k", "_fx_th", roots=True), "near-duplicates")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_fx_th", "_fx_k")
+    stays = found.groupBy("root").agg(F.min(order).alias("s")).select("root", "s._fx_k", "s._fx_th", F.lit(True).alias("stays"))
+    gone = found.join(stays, ["root", "_fx_k", "_fx_th"], "left").filter("stays is null")
+    kept = drop_keys(keyed, gone)
+    # Rows that repeat wholly have one key: of those that stay, one row does.
+    many = stage(found.groupBy("_fx_k", "_fx_th").count().filter("count > 1").select("_fx_k", "_fx_th"), "repeated-rows")
+    if not many.isEmpty():
+        one = kept.join(many, ["_fx_k", "_fx_th"], "left_semi").groupBy("_fx_k", "_fx_th").agg(F.first("_fx_row").alias("_fx_row"))
+        kept = drop_keys(kept, many).select("_fx_row").union(one.select("_fx_row"))
+    return kept.select("_fx_row.*")
