@@ -3,7 +3,7 @@
 1. Anchors. Of every SPAN-byte window the K-byte gram with the smallest hash is its anchor, so equal
    windows have equal anchors, wherever they stand. The windows of one anchor are one segment of text.
    Segments whose anchor's gram occurs once in the corpus hold no repeated window and are left.
-2. Index. The distinct segments of a gram, with their counts, go to one task, a block of grams at a
+2. Index. Equal segments are one with a count before any text moves. The distinct segments of a gram that has several go to one task, a block of grams at a
    time. A block's Burrows-Wheeler transform is kept as runs with the text positions sampled at
    run starts and run ends; the common prefixes computed at those samples are enough to stream the match
    length of every position with its neighbours before and after in suffix order, as within a run each is one
@@ -252,6 +252,14 @@ def _index_block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(spans, pa.binary())], names=["h", "sh", "spans"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, sh, size) to (h, sh, spans) of the whole segment."""
+    for batch in batches:
+        size = batch.column("size").to_numpy()
+        spans = [x.tobytes() for x in np.stack((np.zeros_like(size), size), 1).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("sh"), pa.array(spans, pa.binary())], names=["h", "sh", "spans"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, sh, n, bytes) to (h, sh, n, at, w): each window's place and hash."""
     digest = xxhash.xxh3_64_intdigest
@@ -322,15 +330,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     one = F.min(F.struct("dk", "pos")).alias("one")
     distinct = stage(live.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), one), "distinct-segments")
     of_gram = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    # A gram with one segment, occurring once (a batch or a cut document showed it twice), holds nothing.
-    wanted = distinct.join(of_gram, "h").filter("kinds > 1 or n > 1")
-    wanted = wanted.select("one.dk", F.shiftrightunsigned("one.pos", TAG_SHIFT).alias("tag"), F.struct("h", "sh", "n", F.col("one.pos").alias("pos"), (F.col("kinds") > MOST_SEGMENTS).alias("hot")).alias("s"))
+    distinct = distinct.join(of_gram, "h")
+    # Of a gram with one segment all windows repeat if it occurs more than once, and none if not (a batch or a cut document showed it twice).
+    alone = distinct.filter("kinds = 1 and n > 1").select("h", "sh", F.col("one.pos").bitwiseAND(F.lit((1 << POS_SHIFT) - 1)).alias("size")).mapInArrow(_whole, "h long, sh long, spans binary")
+    wanted = distinct.filter("kinds > 1").select("one.dk", F.shiftrightunsigned("one.pos", TAG_SHIFT).alias("tag"), F.struct("h", "sh", "n", F.col("one.pos").alias("pos"), (F.col("kinds") > MOST_SEGMENTS).alias("hot")).alias("s"))
     wanted = wanted.groupBy("dk", "tag").agg(F.collect_list("s").alias("wanted"))
     kind = dict(docs.dtypes)["doc_id"]
     packed = keyed.mapInArrow(_compress, f"doc_id {kind}, dk long, tag long, z binary").repartition("dk", "tag")
     cut = packed.join(wanted, ["dk", "tag"]).dropDuplicates(["dk", "tag"]).select("z", "wanted").mapInArrow(_cut_segments, "h long, sh long, n long, hot boolean, bytes binary")
     cut = stage(cut, "segments")
-    spans = cut.filter("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, sh long, spans binary")
+    spans = alone.union(cut.filter("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, sh long, spans binary"))
     if not (hot := cut.filter("hot").drop("hot")).isEmpty():
         spans = spans.union(_hot_spans(hot))
     spans = stage(spans, "spans")
