@@ -105,11 +105,12 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     plan = stage(plan.filter(F.get("_fx_times", F.lit(0)) > 0), "mix-plan")
     again = lambda df, n: df.select("_fx_row", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_fx_copy")).select("_fx_row.*")
     once = plan.filter(F.size("_fx_times") == 1)
-    out = again(keyed.join(once, ["_fx_k", "_fx_th"]), F.get("_fx_times", F.lit(0)))
+    # The plan grows with docs, so it is never broadcast, at no size.
+    out = again(keyed.join(once.hint("merge"), ["_fx_k", "_fx_th"]), F.get("_fx_times", F.lit(0)))
     # Rows that repeat wholly share a key: each takes one of the key's entries.
     if not (many := plan.filter(F.size("_fx_times") > 1)).isEmpty():
         nth = F.row_number().over(W.partitionBy("_fx_k", "_fx_th").orderBy(F.hash("_fx_row")))
-        numbered = keyed.join(many, ["_fx_k", "_fx_th"]).withColumn("_fx_n", F.get("_fx_times", nth - 1)).filter("_fx_n > 0")
+        numbered = keyed.join(many.hint("merge"), ["_fx_k", "_fx_th"]).withColumn("_fx_n", F.get("_fx_times", nth - 1)).filter("_fx_n > 0")
         out = out.union(again(numbered, F.col("_fx_n")))
     return out
 
