@@ -82,14 +82,18 @@ def sector_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.sector_returns(panel(spark, sf_dir)).select("date", F.col("sector").alias("factor"), "ret")
 
 
-@query(f"WITH {Q} SELECT symbol, date, {r('close', digits=10)}, volume, sector FROM quotes")
+# Prices are sums over quantities, often exact ties when rounded; traded value is not.
+
+
+@query(f"WITH {Q} SELECT symbol, date, {r('close * volume', 'turnover', 2)}, volume, sector FROM quotes")
 def quotes_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quotes(spark, sf_dir).drop("adjusted_close"), "close", digits=10)
+    return quotes(spark, sf_dir).select("symbol", "date", F.round(F.col("close") * F.col("volume"), 2).alias("turnover"), "volume", "sector")
 
 
-@query(f"WITH {Q} SELECT symbol, date, {r('close', digits=10)} FROM quotes WHERE symbol IN ('1', '2', '3') AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
+@query(f"WITH {Q} SELECT symbol, date, {r('close * volume', 'turnover', 2)} FROM quotes WHERE symbol IN ('1', '2', '3') AND date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 def quotes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(qt.scan_quotes(quotes(spark, sf_dir), ["1", "2", "3"], dt.date(1997, 1, 1), dt.date(1998, 12, 31), strict=False).select("symbol", "date", "close"), "close", digits=10)
+    found = qt.scan_quotes(quotes(spark, sf_dir), ["1", "2", "3"], dt.date(1997, 1, 1), dt.date(1998, 12, 31), strict=False)
+    return found.select("symbol", "date", F.round(F.col("close") * F.col("volume"), 2).alias("turnover"))
 
 
 @query(f"WITH {P} SELECT symbol, date, {r('ret', 'asset_returns')} FROM rr")
@@ -112,10 +116,10 @@ def market_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pn.market_cap_proxy(quotes(spark, sf_dir)).select("symbol", "date", "market_cap"), "market_cap", digits=4)
 
 
-@query(f"WITH {P} SELECT symbol, date, {r('close', digits=10)}, volume, {r('ret', 'asset_returns')}, {r('m', 'market_return')}, {r('cap', 'market_cap', 4)} FROM p")
+@query(f"WITH {P} SELECT symbol, date, volume, {r('ret', 'asset_returns')}, {r('m', 'market_return')}, {r('cap', 'market_cap', 4)} FROM p")
 def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rounded(panel(spark, sf_dir).drop("adjusted_close", "sector"), "asset_returns", "market_return")
-    return rounded(rounded(df, "close", digits=10), "market_cap", digits=4)
+    df = rounded(panel(spark, sf_dir).drop("adjusted_close", "close", "sector"), "asset_returns", "market_return")
+    return rounded(df, "market_cap", digits=4)
 
 
 @query(
@@ -642,12 +646,12 @@ def filings_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The store.
 
 
-@query(f"WITH {Q}, new AS (SELECT symbol, date, close * 2 AS close FROM quotes WHERE date >= DATE '2001-01-01' UNION ALL SELECT 'new', DATE '2001-01-01', 1.0) SELECT symbol, date, {r('close', digits=10)} FROM (SELECT symbol, date, close FROM quotes q WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.symbol = q.symbol AND n.date = q.date) UNION ALL SELECT * FROM new)")
+@query("WITH " + Q + ", c AS (SELECT symbol, date, round(close * volume, 2) AS v FROM quotes), new AS (SELECT symbol, date, v * 2 AS v FROM c WHERE date >= DATE '2001-01-01' UNION ALL SELECT 'new', DATE '2001-01-01', 1.0) SELECT symbol, date, round(v, 2) + 0.0 AS turnover FROM (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.symbol = c.symbol AND n.date = c.date) UNION ALL SELECT * FROM new)")
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = quotes(spark, sf_dir).select("symbol", "date", "close")
-    extra = spark.range(1).select(F.lit("new").alias("symbol"), F.lit(dt.date(2001, 1, 1)).alias("date"), F.lit(1.0).alias("close"))
-    new = old.filter("date >= '2001-01-01'").withColumn("close", F.col("close") * 2).union(extra)
-    return rounded(st.upsert(old, new, ["symbol", "date"]), "close", digits=10)
+    old = quotes(spark, sf_dir).select("symbol", "date", F.round(F.col("close") * F.col("volume"), 2).alias("turnover"))
+    extra = spark.range(1).select(F.lit("new").alias("symbol"), F.lit(dt.date(2001, 1, 1)).alias("date"), F.lit(1.0).alias("turnover"))
+    new = old.filter("date >= '2001-01-01'").withColumn("turnover", F.col("turnover") * 2).union(extra)
+    return rounded(st.upsert(old, new, ["symbol", "date"]), "turnover", digits=2)
 
 
 @query(f"WITH {Q} SELECT count(*) AS quotes, count(DISTINCT symbol) AS symbols FROM quotes")
@@ -662,9 +666,10 @@ def cache_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.coverage(own, wanted, dt.date(1999, 1, 1), dt.date(1999, 12, 31), 0.03)
 
 
-@query(f"WITH {Q} SELECT symbol, date, {r('close', digits=10)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM quotes) WHERE k = 1")
+@query(f"WITH {Q} SELECT symbol, date, {r('close * volume', 'turnover', 2)} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM quotes) WHERE k = 1")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(st.latest_per_key(quotes(spark, sf_dir).select("symbol", "date", "close"), ["symbol"], "date"), "close", digits=10)
+    last = st.latest_per_key(quotes(spark, sf_dir), ["symbol"], "date")
+    return last.select("symbol", "date", F.round(F.col("close") * F.col("volume"), 2).alias("turnover"))
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01')")
