@@ -90,6 +90,10 @@ def _long_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def _joined_grams(n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, n), " ")))
+
+
 def _short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
     """Hits of items with fewer than SPAN words, each a window as it stands: all n-grams of that length are compared."""
     short = stage(items.filter(F.col("n") < SPAN).select("item", "iw", "n", F.xxhash64(F.array_join("iw", " ")).alias("fp")), "short-items")
@@ -98,7 +102,7 @@ def _short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
         some = short.filter(F.col("n") == n)
         if some.count() <= BROADCAST_ROWS:
             some = F.broadcast(some)
-        gram = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i, n=n: F.xxhash64(F.array_join(F.slice("words", i + 1, n), " ")))
+        gram = _joined_grams(n)
         rows = docs.filter(F.size("words") >= n).select("doc_id", "th", "n_words", "words", F.posexplode(gram).alias("lo", "fp"))
         rows = rows.join(some, "fp").filter(F.slice("words", F.col("lo") + 1, n) == F.col("iw"))
         rows = rows.select("doc_id", "th", "n_words", "lo", (F.col("lo") + n).alias("hi"), "item")
