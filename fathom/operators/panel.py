@@ -39,11 +39,12 @@ def average_market(returns: DataFrame) -> DataFrame:
 def factor_panel(quotes: DataFrame, market: DataFrame) -> DataFrame:
     """date, symbol, adjusted_close, close, volume, asset_returns, market_return, market_cap, on the dates the market has.
 
-    Returns and cap are computed in place, without a self-join; the market is one row a date and Spark chooses how to join it.
+    Returns and cap are computed in place, without a self-join. The market is one row a calendar day, some 16 bytes, so it is
+    broadcast at any size of the quotes, and the rows stay dealt out by symbol for the factors' windows.
     """
     own = market_cap_proxy(compute_returns(quotes))
     cols = ["date", "symbol", "adjusted_close", "close", "volume", "asset_returns", "market_return", "market_cap"]
-    return own.join(market, "date").select(*cols, *(c for c in ("sector",) if c in quotes.columns))
+    return own.join(F.broadcast(market), "date").select(*cols, *(c for c in ("sector",) if c in quotes.columns))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, on: str, right_on: str, columns: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ class Store:
     root: str
 
     def _pointer(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}/_current"
+        return f"{self.root.rstrip('/')}/{table}/CURRENT"
 
     def _fs(self, path: str):  # noqa: ANN202
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
