@@ -43,9 +43,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], *o
 def coverage(quotes: DataFrame, requested: DataFrame, start: dt.date, end: dt.date, ratio: float = 0.65) -> DataFrame:
     """symbol, n, needed, covered for each requested symbol: whether it has ratio * calendar days rows.
 
-    Trading days are about 0.69 of calendar days; 0.7 is never reached over long ranges.
+    Trading days are about 0.69 of calendar days; 0.7 is never reached over long ranges. A range of a day needs one row.
     """
-    needed = int(ratio * (end - start).days)
+    needed = max(1, int(ratio * (end - start).days))
     have = quotes.filter(F.col("date").between(F.lit(start), F.lit(end))).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     df = requested.select("symbol").join(have, "symbol", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return df.withColumn("needed", F.lit(needed).cast("long")).withColumn("covered", F.col("n") >= F.col("needed"))
