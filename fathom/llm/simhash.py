@@ -23,6 +23,8 @@ from fathom.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
+#: For whole near-copies: bits, words a shingle, and the bits that linked texts differ in at most.
+WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS = 512, 5, 90, 1 << 16
 #: (first bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: A larger bucket is filed again under parts of its remaining bits, and then dealt out in tiles.
@@ -66,16 +68,19 @@ def _csa(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def close_pairs(fp: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j < end[i], of fingerprints at most `radius` (up to 7) bits apart, in chunks.
+    """Pairs (i, j), i < j < end[i], of fingerprints at most `radius` bits apart, in chunks.
 
-    fp is uint64; rows of one bucket are adjacent and end[i] is where the bucket of row i ends.
+    fp is uint64, of one word a row or a column for each word; rows of one bucket are adjacent and end[i] is
+    where the bucket of row i ends.
     """
-    n, full = len(fp), np.uint64(0xFFFFFFFFFFFFFFFF)
-    blocks = -(-n // 64)
-    padded = np.zeros(blocks * 64, np.uint64)
+    fp = fp.reshape(len(fp), -1)
+    (n, width), full = fp.shape, np.uint64(0xFFFFFFFFFFFFFFFF)
+    blocks, size = -(-n // 64), 64 * width
+    padded = np.zeros((blocks * 64, width), np.uint64)
     padded[:n] = fp
-    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64).reshape(64, blocks)
+    bits = np.unpackbits(padded.view(np.uint8).reshape(blocks, 64, 8 * width), axis=2, bitorder="little")
+    planes = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64).reshape(size, blocks)
+    digits = max(3, radius.bit_length())
     index = np.arange(n)
     first, last = (index + 1) // 64, (end - 1) // 64
     count = np.where(end > index + 1, last - first + 1, 0)
@@ -88,26 +93,28 @@ def close_pairs(fp: np.ndarray, end: np.ndarray, radius: int = RADIUS) -> Iterat
         q = np.repeat(index[at:upto], part)
         blk = first[q] + np.arange(len(q)) - np.repeat(np.cumsum(part) - part, part)
         at = upto
-        lanes = low(np.minimum(end[q] - 64 * blk, 64)) & ~low(np.maximum(q + 1 - 64 * blk, 0))
-        over, ones, twos, fours = ~lanes, *(np.zeros(len(q), np.uint64) for _ in range(3))
-        for b in range(0, 64, 4):
+        over = ~(low(np.minimum(end[q] - 64 * blk, 64)) & ~low(np.maximum(q + 1 - 64 * blk, 0)))
+        live = ~over
+        digit = [np.zeros(len(q), np.uint64) for _ in range(digits)]
+        for b in range(0, size, 4):
             if not len(q):
                 break
-            d = [planes[k, blk] ^ (full * ((fp[q] >> np.uint64(k)) & np.uint64(1))) for k in range(b, b + 4)]
-            ones, t1 = _csa(ones, d[0], d[1])
-            ones, t2 = _csa(ones, d[2], d[3])
-            twos, f = _csa(twos, t1, t2)
-            over |= fours & f
-            fours ^= f
-            if b % 8 == 4:
-                past = np.zeros(len(q), np.uint64)
-                tie = full.repeat(len(q))
-                for plane, bit in ((fours, 4), (twos, 2), (ones, 1)):
-                    past, tie = (past, tie & plane) if radius & bit else (past | (tie & plane), tie & ~plane)
+            d = [planes[k, blk] ^ (full * ((fp[q, k // 64] >> np.uint64(k % 64)) & np.uint64(1))) for k in range(b, b + 4)]
+            digit[0], t1 = _csa(digit[0], d[0], d[1])
+            digit[0], t2 = _csa(digit[0], d[2], d[3])
+            digit[1], carry = _csa(digit[1], t1, t2)
+            for k in range(2, digits):
+                digit[k], carry = digit[k] ^ carry, digit[k] & carry
+            over |= carry
+            if b % 16 == 12 or b + 4 == size:
+                past, tie = np.zeros(len(q), np.uint64), np.full(len(q), full)
+                for k in reversed(range(digits)):
+                    past, tie = (past, tie & digit[k]) if radius >> k & 1 else (past | (tie & digit[k]), tie & ~digit[k])
                 live = ~(over | past)
                 keep = np.flatnonzero(live)
                 if len(keep) < len(q):
-                    q, blk, over, ones, twos, fours, live = (x[keep] for x in (q, blk, over, ones, twos, fours, live))
+                    q, blk, over, live = (x[keep] for x in (q, blk, over, live))
+                    digit = [x[keep] for x in digit]
         if len(q):
             hit = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, lane = np.nonzero(hit)
@@ -127,7 +134,7 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def _compare(keys: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compare(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest of what is close within the buckets (runs of equal keys)."""
     edge = np.flatnonzero(np.concatenate((keys[1:] != keys[:-1], [True]))) + 1
     size = np.diff(np.concatenate(([0], edge)))
@@ -135,35 +142,57 @@ def _compare(keys: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not many.any():
         return
     drop = np.cumsum(~many)
-    fp, end = fp[many], (end - np.concatenate(([0], drop))[end])[many]
+    fp, node, end = fp[many], node[many], (end - np.concatenate(([0], drop))[end])[many]
     labels = np.arange(len(fp))
-    for i, j in close_pairs(fp, end):
+    for i, j in close_pairs(fp, end, radius):
         join_labels(labels, i, j)
     linked = np.flatnonzero(labels != np.arange(len(fp)))
     if len(linked):
-        yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[labels[linked]].view(np.int64))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (bucket, fp), sorted by bucket, to edges; whole buckets, ROWS rows or so at a time."""
-    keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        keys = np.concatenate((keys, batch.column("bucket").to_numpy()))
-        fps = np.concatenate((fps, batch.column("fp").to_numpy().view(np.uint64)))
-        if len(keys) >= ROWS:
-            cut = int(np.searchsorted(keys, keys[-1]))
-            yield from _compare(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
-    yield from _compare(keys, fps)
+def _words(column: pa.Array) -> np.ndarray:
+    """Fingerprints of a column, longs or binary of one length, as uint64, a column for each word."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64).reshape(-1, 1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _linker(radius: int, rows: int = ROWS):  # noqa: ANN202
+    """Batches of (bucket, node, fp), sorted by bucket, to edges; whole buckets, about `rows` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            new = [batch.column("bucket").to_numpy(), _words(batch.column("fp")), batch.column("node").to_numpy()]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if len(held[0]) >= rows:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
+                yield from _compare(*(x[:cut] for x in held), radius)
+                held = [x[cut:] for x in held]
+        if held and len(held[0]):
+            yield from _compare(*held, radius)
+
+    return run
 
 
 def _bits(fp: Column, at: int, n: int) -> Column:
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1))
 
 
-def _compare_buckets(rows: DataFrame) -> DataFrame:
+def _compare_buckets(rows: DataFrame, radius: int = RADIUS, at_once: int = ROWS) -> DataFrame:
+    """Edges of rows (bucket, fp, and node where fp is not a node's name itself)."""
+    rows = rows if "node" in rows.columns else rows.withColumn("node", F.col("fp"))
     spread = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return spread.mapInArrow(_links, "a long, b long")
+    return spread.mapInArrow(_linker(radius, at_once), "a long, b long")
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows (bucket, ...) with large buckets dealt out: rows go to tiles by hash, and every two tiles are a bucket of their own."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("tiles"))
+    tile = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles"))
+    out = rows.join(sizes, "bucket").withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return out.withColumn("bucket", F.xxhash64("bucket", F.least("t", "o"), F.greatest("t", "o"))).select(*rows.columns)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -185,16 +214,11 @@ def links(fps: DataFrame) -> DataFrame:
     which = F.shiftright("bucket", 40)
     again = F.array(*(F.coalesce(*(F.when(which == t, parts(t)[k]) for t in range(len(pairs)))) for k in range(RADIUS + 1)))
     split = stage(rows.join(hot, "bucket", "left_semi").select("fp", F.explode(again).alias("bucket")), "hot-parts")
-    # Parts that are still large: rows go to tiles by hash, and every pair of tiles is a bucket of its own.
-    sizes = split.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("tiles"))
-    tile = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles"))
-    tiled = split.join(sizes, "bucket").withColumn("t", tile).select("fp", "bucket", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o"))
-    tiled = tiled.select("fp", F.xxhash64("bucket", F.least("t", "o"), F.greatest("t", "o")).alias("bucket"))
-    return _compare_buckets(rows.join(hot, "bucket", "left_anti")).union(_compare_buckets(tiled))
+    return _compare_buckets(rows.join(hot, "bucket", "left_anti")).union(_compare_buckets(_tiles(split)))
 
 
-def near_duplicates(docs: DataFrame, *keep: str, roots: bool = False) -> DataFrame:
-    """`keep`, doc_id, fp, component_id (the smallest doc_id in the group) for every row of docs; with roots also root, the group's own name.
+def near_duplicates(docs: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, doc_id, fp, component_id (the smallest doc_id in the group) for every row of docs.
 
     A null or wordless text has fingerprint 0 and is linked like any other. Null doc_ids never are the
     smallest unless a group has no other; repeated rows are in one group. An empty table gives no rows.
@@ -205,8 +229,8 @@ def near_duplicates(docs: DataFrame, *keep: str, roots: bool = False) -> DataFra
     rooted = fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id", *["root"] * roots)
+    named = stage(rooted.join(least, "root").select("fp", "component_id"), "components")
+    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id")
 
 
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,10 +238,74 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint(text: bytes | None) -> bytes:
+    """WIDE bits of SimHash of the shingles of WIDE_SHINGLE lower-cased words; zeros for null or no words.
+
+    Each shingle's hash is mixed with a constant for each 64 of its bits.
+    """
+    words = (text or b"").lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    joined = b" ".join(words)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    start = np.concatenate(([0], end[:-1]))
+    k = min(WIDE_SHINGLE, len(words)) - 1
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - k].tolist(), (end[k:] - 1).tolist(), strict=True)], np.uint64)
+    ones, keys = np.zeros(WIDE, np.int64), np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 1 << 12):
+        x = hashes[at : at + (1 << 12), None] ^ keys
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp) to a row for each 16 bits of the fingerprint, which are its bucket there."""
+    for batch in batches:
+        fp = _words(batch.column("fp"))
+        n, bands = len(fp), 4 * fp.shape[1]
+        bucket = (np.arange(bands, dtype=np.int64) << 16) + fp.view(np.uint16)
+        data = np.repeat(fp, bands, axis=0).tobytes()
+        copies = pa.Array.from_buffers(pa.binary(), n * bands, [None, pa.py_buffer(np.arange(0, len(data) + 1, WIDE // 8, dtype=np.int32).tobytes()), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), bands)), copies], names=["bucket", "node", "fp"])
+
+
+def similar(docs: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, doc_id, root for every row of docs: texts whose shingles of five words are similar to about 0.8 or more, and chains of them, have one root.
+
+    Fingerprints of WIDE bits are compared where 16 aligned bits are the same; of texts with similarity s a share
+    1 - (1 - p^16)^32 meets, p the share of bits that agree: 0.91 at 0.8, 0.97 at 0.85, over 0.99 from 0.9. A
+    similarity of 0.8 is 76 bits on average with a deviation of 8; WIDE_RADIUS leaves room for that, so some texts of 0.75 are linked too. Null, empty and repeated texts are treated as in near_duplicates().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = pa.array([wide_fingerprint(t.as_py()) for t in batch.column("_fx_text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), fp], names=[*names, "fp"])
+
+    names = ("doc_id", *keep)
+    df = docs.select(*names, F.col("text").cast("binary").alias("_fx_text"))
+    rows = df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names) + ", fp binary")
+    rows = stage(rows.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
+    banded = rows.select("node", "fp").distinct().mapInArrow(_bands, "bucket long, node long, fp binary")
+    banded = stage(banded, "bands")
+    hot = stage(banded.groupBy("bucket").count().filter(F.col("count") > BUCKET).select("bucket"), "hot-bands")
+    if hot.isEmpty():
+        edges = _compare_buckets(banded, WIDE_RADIUS, WIDE_ROWS)
+    else:
+        apart = _tiles(banded.join(hot, "bucket", "left_semi"))
+        edges = _compare_buckets(banded.join(hot, "bucket", "left_anti").select(*banded.columns).unionByName(apart), WIDE_RADIUS, WIDE_ROWS)
+    roots = components(edges)
+    return rows.drop("fp").join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id (null last), with all its columns."""
+    """One row of each group of similar() texts, that of the smallest doc_id (null last), with all its columns."""
     keyed = with_key(docs)
-    found = stage(near_duplicates(keyed, "_fx_k", "_fx_th", roots=True), "near-duplicates")
+    found = stage(similar(keyed, "_fx_k", "_fx_th"), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_fx_th", "_fx_k")
     stays = found.groupBy("root").agg(F.min(order).alias("s")).select("root", "s._fx_k", "s._fx_th", F.lit(True).alias("stays"))
     gone = found.join(stays, ["root", "_fx_k", "_fx_th"], "left").filter("stays is null")

@@ -8,7 +8,7 @@ import pytest
 from fathom.llm import mixing, quality
 
 from .conftest import DOCS, awkward, prose
-from .test_llm import brute_fp, brute_hits
+from .test_llm import brute_hits, jaccard
 
 
 @pytest.fixture(scope="module")
@@ -40,11 +40,10 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert Counter(r["doc_id"] for r in out[names[0]]).keys() == kept
     # One row a group: links by brute force.
     good = [(r["doc_id"], r["text"]) for r in out[names[0]]]
-    fps = [brute_fp(t) for _, t in good]
     group = list(range(len(good)))
     for i in range(len(good)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 4:
+            if jaccard(good[i][1], good[j][1]) >= 0.8:
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
     best = {}
