@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.errors import RiskModelError
 from fathom.operators.covariance import ewma
+from fathom.operators.protocols import CovarianceEstimator, SpecificRiskEstimator
 from fathom.operators.specific import specific_risk
 
 
@@ -35,8 +35,8 @@ class RiskModel:
     annualize_factor_cov puts both on a year.
     """
 
-    covariance: Callable[[DataFrame], DataFrame] = ewma
-    specific: Callable[..., DataFrame] = specific_risk
+    covariance: CovarianceEstimator = ewma
+    specific: SpecificRiskEstimator = specific_risk
     annualize_factor_cov: bool = False
     periods_per_year: int = 252
     cov: DataFrame | None = None

@@ -7,6 +7,7 @@ sectors, orders for filing facts. Values are rounded alike on both sides, as sum
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -705,5 +706,18 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(event_counts(table(spark, sf_dir, "events")), "total", digits=6).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(SQL["event_windows"])
+def event_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows by a stream over the events' files, run until all are read."""
+    from fathom.streaming.ewma import event_counts
+
+    name = f"event_windows_{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern, since a stream's base folder can't be a file.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    event_counts(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.table(name), "total", digits=6).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sector_factor_returns(spark, sf_dir)

@@ -127,6 +127,11 @@ def latest_filing(rows: DataFrame, form: str) -> DataFrame:
     return first.select("f.*").filter("filed is not null")
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """path, value: the text of each filing document in a folder, or of each payload."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+
 def document_url(cik: Column, accession: Column, document: Column) -> Column:
     return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), cik, F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
 
