@@ -292,12 +292,8 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     rows = stage(rows.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
     banded = rows.select("node", "fp").distinct().mapInArrow(_bands, "bucket long, node long, fp binary")
     banded = stage(banded, "bands")
-    hot = stage(banded.groupBy("bucket").count().filter(F.col("count") > BUCKET).select("bucket"), "hot-bands")
-    if hot.isEmpty():
-        edges = _compare_buckets(banded, WIDE_RADIUS, WIDE_ROWS)
-    else:
-        apart = _tiles(banded.join(hot, "bucket", "left_semi"))
-        edges = _compare_buckets(banded.join(hot, "bucket", "left_anti").select(*banded.columns).unionByName(apart), WIDE_RADIUS, WIDE_ROWS)
+    # Tiles at every size, so that the plan doesn't change as groups of copies grow.
+    edges = _compare_buckets(_tiles(banded), WIDE_RADIUS, WIDE_ROWS)
     roots = components(edges)
     return rows.drop("fp").join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
 
