@@ -27,6 +27,11 @@ def _need(returns: DataFrame, least: int) -> int:
     return n
 
 
+def held(returns: DataFrame) -> DataFrame:
+    """returns, cached: a row per date and factor, which the estimators read many times over. DataFrame.unpersist or Catalog.clearCache frees it."""
+    return returns if returns.is_cached else returns.select("date", "factor", "ret").cache()
+
+
 def _pairs(x: DataFrame, y: DataFrame | None = None, on: str = "date") -> DataFrame:
     """Each date's rows of x with those of y (or x), as factor_i, ri and factor_j, rj, and x's other columns."""
     y = x if y is None else y
@@ -69,6 +74,7 @@ def ewma(returns: DataFrame, config: EwmaConfig = EwmaConfig(), strict: bool = T
     The weights sum to one. bias_correction multiplies by n (1 - decay) / (1 - decay^n), which inflates; it is the
     default for parity.
     """
+    returns = held(returns)
     if strict:
         _need(returns, config.min_observations)
     w = returns.join(_numbered(returns), "date").withColumn("w", ewma_weight(config.decay, F.col("t"), F.col("n")))
@@ -119,6 +125,7 @@ def shrinkage_intensity(returns: DataFrame, target: str = "constant_correlation"
     mode "reference" is (mean|yy' - F|^2 - mean|yy' - S|^2) / |S - F|^2, which is 1 whenever S differs from F.
     mode "published" is (pi - rho) / (gamma T) of Ledoit and Wolf (2004) for the target.
     """
+    returns = held(returns)
     y = _demeaned(returns, center)
     s = sample(returns, center)
     f = shrinkage_target(s, target).withColumnRenamed("value", "f")
@@ -153,6 +160,7 @@ def shrinkage_intensity(returns: DataFrame, target: str = "constant_correlation"
 
 def ledoit_wolf(returns: DataFrame, target: str = "constant_correlation", mode: str = "published", center: bool = True, intensity: float | None = None) -> DataFrame:
     """intensity * target + (1 - intensity) * sample covariance."""
+    returns = held(returns)
     _need(returns, 2)
     s = sample(returns, center)
     f = shrinkage_target(s, target).withColumnRenamed("value", "f")
@@ -171,6 +179,7 @@ def auto_lags(n: int) -> int:
 
 def newey_west(returns: DataFrame, lags: int | None = None, min_observations: int = 60) -> DataFrame:
     """Autocorrelation-robust covariance: S0 + sum of Bartlett weights times (G_l + G_l'), all over T; lags is held below T."""
+    returns = held(returns)
     n = _need(returns, min_observations)
     lags = min(auto_lags(n) if lags is None else lags, n - 1)
     x = _demeaned(returns).join(_numbered(returns).select("date", "t"), "date").select("t", "factor", "r")
