@@ -23,8 +23,8 @@ from fathom.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: For whole near-copies: bits, words a shingle, and the bits that linked texts differ in at most.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS = 512, 5, 90, 1 << 16
+#: For whole near-copies: bits that bands are cut of, the first of them that are compared, words a shingle, and the bits that linked texts differ in at most.
+WIDE, COMPARED, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS = 512, 256, 5, 45, 1 << 16
 #: (first bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: A larger bucket is filed again under parts of its remaining bits, and then dealt out in tiles.
@@ -263,22 +263,22 @@ def wide_fingerprint(text: bytes | None) -> bytes:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp) to a row for each 16 bits of the fingerprint, which are its bucket there."""
+    """(node, fp) to a row for each 16 bits of the fingerprint, which are its bucket there, with the bits to compare."""
     for batch in batches:
         fp = _words(batch.column("fp"))
         n, bands = len(fp), 4 * fp.shape[1]
         bucket = (np.arange(bands, dtype=np.int64) << 16) + fp.view(np.uint16)
-        data = np.repeat(fp, bands, axis=0).tobytes()
-        copies = pa.Array.from_buffers(pa.binary(), n * bands, [None, pa.py_buffer(np.arange(0, len(data) + 1, WIDE // 8, dtype=np.int32).tobytes()), pa.py_buffer(data)])
+        data = np.repeat(fp[:, : COMPARED // 64], bands, axis=0).tobytes()
+        copies = pa.Array.from_buffers(pa.binary(), n * bands, [None, pa.py_buffer(np.arange(0, len(data) + 1, COMPARED // 8, dtype=np.int32).tobytes()), pa.py_buffer(data)])
         yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), bands)), copies], names=["bucket", "node", "fp"])
 
 
 def similar(docs: DataFrame, *keep: str) -> DataFrame:
     """`keep`, doc_id, root for every row of docs: texts whose shingles of five words are similar to about 0.8 or more, and chains of them, have one root.
 
-    Fingerprints of WIDE bits are compared where 16 aligned bits are the same; of texts with similarity s a share
+    Fingerprints of WIDE bits meet where 16 aligned bits are the same, and are compared in COMPARED bits; of texts with similarity s a share
     1 - (1 - p^16)^32 meets, p the share of bits that agree: 0.91 at 0.8, 0.97 at 0.85, over 0.99 from 0.9. A
-    similarity of 0.8 is 76 bits on average with a deviation of 8; WIDE_RADIUS leaves room for that, so some texts of 0.75 are linked too. Null, empty and repeated texts are treated as in near_duplicates().
+    similarity of 0.8 is 39 of these on average with a deviation of 6; WIDE_RADIUS leaves room for that, so some texts of 0.7 are linked too. Null, empty and repeated texts are treated as in near_duplicates().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
