@@ -17,14 +17,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import drop_keys, stage, table, with_key
+from fathom.llm._common import drop_keys, group_key, stage, table, with_key
 from fathom.llm.components import components
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: For whole near-copies: bits that bands are cut of, the first of them that are compared, words a shingle, and the bits that linked texts differ in at most.
-WIDE, COMPARED, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS = 512, 256, 5, 45, 1 << 16
+#: For whole near-copies: bits, words a shingle, the bits that candidates differ in at most, and the similarity (in hundredths) that links texts.
+WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS, SIMILAR = 512, 5, 120, 1 << 16, 80
+#: Bits of a band; the bits are put in so many fixed orders, and each is cut into bands.
+BAND_BITS, ORDERS = 14, 2
+BAND_AT = np.concatenate([np.random.RandomState(SEED + k).permutation(WIDE)[: WIDE // BAND_BITS * BAND_BITS] for k in range(ORDERS)])
 #: (first bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: A larger bucket is filed again under parts of its remaining bits, and then dealt out in tiles.
@@ -134,15 +137,21 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def _compare(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    """Edges of a spanning forest of what is close within the buckets (runs of equal keys)."""
+def _shared_buckets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are in buckets (runs of equal keys) of several rows, and where among those their buckets end."""
     edge = np.flatnonzero(np.concatenate((keys[1:] != keys[:-1], [True]))) + 1
     size = np.diff(np.concatenate(([0], edge)))
     end, many = np.repeat(edge, size), np.repeat(size > 1, size)
+    drop = np.cumsum(~many)
+    return many, (end - np.concatenate(([0], drop))[end])[many]
+
+
+def _compare(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """Edges of a spanning forest of what is close within the buckets (runs of equal keys)."""
+    many, end = _shared_buckets(keys)
     if not many.any():
         return
-    drop = np.cumsum(~many)
-    fp, node, end = fp[many], node[many], (end - np.concatenate(([0], drop))[end])[many]
+    fp, node = fp[many], node[many]
     labels = np.arange(len(fp))
     for i, j in close_pairs(fp, end, radius):
         join_labels(labels, i, j)
@@ -151,6 +160,51 @@ def _compare(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[labels[linked]])], names=["a", "b"])
 
 
+def join_by_pairs(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """join_labels(), and which pairs (positions in a and b) did it: one for each label that went."""
+    used, at = [], np.arange(len(a))
+    while True:
+        x, y = labels[a[at]], labels[b[at]]
+        differ = x != y
+        at, high, low = at[differ], np.maximum(x, y)[differ], np.minimum(x, y)[differ]
+        if not len(at):
+            return used
+        np.minimum.at(labels, high, low)
+        does = np.flatnonzero(labels[high] == low)
+        used.append(at[does[np.unique(high[does], return_index=True)[1]]])
+        while not np.array_equal(jumped := labels[labels], labels):
+            labels[:] = jumped
+
+
+def _forest(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """Close pairs that span, in each bucket, all that is linked by close pairs; tree names what one of them spans."""
+    many, end = _shared_buckets(keys)
+    if not many.any():
+        return
+    keys, fp, node = keys[many], fp[many], node[many]
+    labels, left, right = np.arange(len(fp)), [], []
+    for i, j in close_pairs(fp, end, radius):
+        for k in join_by_pairs(labels, i, j):
+            left.append(i[k])
+            right.append(j[k])
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        with np.errstate(over="ignore"):
+            tree = keys[a] * np.int64(0x1E3779B97F4A7C15) + node[labels[a]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(tree)], names=["a", "b", "tree"])
+
+
+def _apart(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """All close pairs within the buckets whose roots differ."""
+    many, end = _shared_buckets(keys)
+    if not many.any():
+        return
+    fp, node, root = fp[many], node[many], root[many]
+    for i, j in close_pairs(fp, end, radius):
+        i, j = i[(differ := root[i] != root[j])], j[differ]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+
 def _words(column: pa.Array) -> np.ndarray:
     """Fingerprints of a column, longs or binary of one length, as uint64, a column for each word."""
     if pa.types.is_integer(column.type):
@@ -158,20 +212,20 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _linker(radius: int, rows: int = ROWS):  # noqa: ANN202
-    """Batches of (bucket, node, fp), sorted by bucket, to edges; whole buckets, about `rows` rows at a time."""
+def _linker(radius: int, rows: int = ROWS, compare=_compare, *more: str):  # noqa: ANN001, ANN202
+    """Batches of (bucket, node, fp and the longs `more`), sorted by bucket, to edges; whole buckets, about `rows` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            new = [batch.column("bucket").to_numpy(), _words(batch.column("fp")), batch.column("node").to_numpy()]
+            new = [batch.column("bucket").to_numpy(), _words(batch.column("fp")), *(batch.column(k).to_numpy() for k in ("node", *more))]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= rows:
                 cut = int(np.searchsorted(held[0], held[0][-1]))
-                yield from _compare(*(x[:cut] for x in held), radius)
+                yield from compare(*(x[:cut] for x in held), radius)
                 held = [x[cut:] for x in held]
         if held and len(held[0]):
-            yield from _compare(*held, radius)
+            yield from compare(*held, radius)
 
     return run
 
@@ -238,20 +292,23 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_fingerprint(text: bytes | None) -> bytes:
-    """WIDE bits of SimHash of the shingles of WIDE_SHINGLE lower-cased words; zeros for null or no words.
-
-    Each shingle's hash is mixed with a constant for each 64 of its bits.
-    """
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of WIDE_SHINGLE lower-cased words (all of a shorter text's words are one); none for null or no words."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     start = np.concatenate(([0], end[:-1]))
     k = min(WIDE_SHINGLE, len(words)) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - k].tolist(), (end[k:] - 1).tolist(), strict=True)], np.uint64)
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(start[: len(words) - k].tolist(), (end[k:] - 1).tolist(), strict=True)], np.uint64))
+
+
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """WIDE bits of SimHash of shingles(); zeros for none. Each hash is mixed with a constant for each 64 of its bits."""
+    if not len(hashes):
+        return bytes(WIDE // 8)
     ones, keys = np.zeros(WIDE, np.int64), np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(hashes), 1 << 12):
         x = hashes[at : at + (1 << 12), None] ^ keys
@@ -262,40 +319,110 @@ def wide_fingerprint(text: bytes | None) -> bytes:
     return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fp) to a row for each 16 bits of the fingerprint, which are its bucket there, with the bits to compare."""
+def wide_fingerprint(text: bytes | None) -> bytes:
+    return wide_bits(shingles(text))
+
+
+def _bands(fingerprints: bool):  # noqa: ANN202
+    """(node, fp) to a row for each band of the fingerprint, whose bits are its bucket there, with or without the fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = (1 << np.arange(BAND_BITS, dtype=np.int64)).astype(np.float32)
+        for batch in batches:
+            fp = _words(batch.column("fp"))
+            n, bands = len(fp), len(BAND_AT) // BAND_BITS
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, BAND_AT].reshape(n, bands, BAND_BITS)
+            bucket = (np.arange(bands, dtype=np.int64) << BAND_BITS) + (bits.astype(np.float32) @ weights).astype(np.int64)
+            out = {"bucket": pa.array(bucket.ravel())}
+            if fingerprints:
+                data = np.repeat(fp, bands, axis=0).tobytes()
+                offsets = np.arange(0, len(data) + 1, WIDE // 8, dtype=np.int32).tobytes()
+                out |= {"node": pa.array(np.repeat(batch.column("node").to_numpy(), bands)), "fp": pa.Array.from_buffers(pa.binary(), n * bands, [None, pa.py_buffer(offsets), pa.py_buffer(data)])}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return run
+
+
+def _dealt_bands(nodes: DataFrame) -> DataFrame:
+    """Rows (bucket, node, fp) of all bands, large buckets dealt out as in _tiles(). Only these buckets' sizes are joined, at most one for each value of a band, so the fingerprints are shuffled once."""
+    large = nodes.select("node", "fp").mapInArrow(_bands(False), "bucket long").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("tiles")).filter("tiles > 1")
+    rows = nodes.select("node", "fp").mapInArrow(_bands(True), "bucket long, node long, fp binary").join(F.broadcast(stage(large, "large-buckets")), "bucket", "left")
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce("tiles", F.lit(1).cast("long"))))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tiles", F.lit(1).cast("long")) - 1)))
+    dealt = F.when(F.col("tiles").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("t", "o"), F.greatest("t", "o")))
+    return rows.select(dealt.alias("bucket"), "node", "fp")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sa, sb) to (a, b, alike): whether the sets' Jaccard similarity is SIMILAR hundredths or more."""
     for batch in batches:
-        fp = _words(batch.column("fp"))
-        n, bands = len(fp), 4 * fp.shape[1]
-        bucket = (np.arange(bands, dtype=np.int64) << 16) + fp.view(np.uint16)
-        data = np.repeat(fp[:, : COMPARED // 64], bands, axis=0).tobytes()
-        copies = pa.Array.from_buffers(pa.binary(), n * bands, [None, pa.py_buffer(np.arange(0, len(data) + 1, COMPARED // 8, dtype=np.int32).tobytes()), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), bands)), copies], names=["bucket", "node", "fp"])
+        out = []
+        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(x) + len(y) - len(np.union1d(x, y))
+            out.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "alike"])
 
 
-def similar(docs: DataFrame, *keep: str) -> DataFrame:
-    """`keep`, doc_id, root for every row of docs: texts whose shingles of five words are similar to about 0.8 or more, and chains of them, have one root.
+def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, alike for every pair (a, b) of nodes, by the shingles of one text each. texts: _fx_nk, _fx_nh, _fx_text."""
 
-    Fingerprints of WIDE bits meet where 16 aligned bits are the same, and are compared in COMPARED bits; of texts with similarity s a share
-    1 - (1 - p^16)^32 meets, p the share of bits that agree: 0.91 at 0.8, 0.97 at 0.85, over 0.99 from 0.9. A
-    similarity of 0.8 is 39 of these on average with a deviation of 6; WIDE_RADIUS leaves room for that, so some texts of 0.7 are linked too. Null, empty and repeated texts are treated as in near_duplicates().
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("_fx_text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "s"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = stage(nodes.drop("fp").join(ends, "node", "left_semi"), "candidates")
+    sets = texts.join(named, ["_fx_nk", "_fx_nh"]).select("node", "_fx_text").mapInArrow(run, "node long, s binary")
+    # A row that repeats wholly gives its node's set again.
+    sets = stage(sets.dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return stage(both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long, alike boolean"), "confirmed")
+
+
+def similar(docs: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, doc_id, root for every row of docs: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of them, have one root.
+
+    A node is a set of shingles. Candidates are nodes whose fingerprints have a band of BAND_BITS bits in common and
+    differ in WIDE_RADIUS of WIDE bits at most; at a similarity of 0.8, where 77 bits differ on average with a deviation of 8, 1 pair in
+    1,000 is in no common band. Candidates are linked only if the similarity of their sets, counted exactly, is 0.8 or more. First the pairs of
+    a spanning forest of each bucket are counted; where one is refused and leaves its ends apart, all pairs
+    between different groups of that tree are. So of a group of copies only few pairs are written. Null, empty and
+    repeated texts are treated as in near_duplicates().
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array([wide_fingerprint(t.as_py()) for t in batch.column("_fx_text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), fp], names=[*names, "fp"])
-
-    names = ("doc_id", *keep)
-    df = docs.select(*names, F.col("text").cast("binary").alias("_fx_text"))
-    rows = df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names) + ", fp binary")
-    rows = stage(rows.withColumn("node", F.xxhash64("fp")), "wide-fingerprints")
-    banded = rows.select("node", "fp").distinct().mapInArrow(_bands, "bucket long, node long, fp binary")
-    banded = stage(banded, "bands")
-    # Tiles at every size, so that the plan doesn't change as groups of copies grow.
-    edges = _compare_buckets(_tiles(banded), WIDE_RADIUS, WIDE_ROWS)
-    roots = components(edges)
-    return rows.drop("fp").join(roots, "node", "left").select(*names, F.coalesce("root", "node").alias("root"))
+            sets = [shingles(t.as_py()) for t in batch.column("_fx_text")]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            fp = pa.array([wide_bits(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(node), fp], names=[*names, "node", "fp"])
+
+    names = ("doc_id", *keep, "_fx_nk", "_fx_nh")
+    df = docs.select("doc_id", *keep, group_key("doc_id").alias("_fx_nk"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_fx_nh"), F.col("text").cast("binary").alias("_fx_text"))
+    rows = df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names) + ", node long, fp binary")
+    rows = stage(rows, "wide-fingerprints")
+    one = F.min(F.struct("_fx_nk", "_fx_nh")).alias("one")
+    nodes = stage(rows.groupBy("node").agg(one, F.first("fp").alias("fp")).select("node", "one.*", "fp"), "distinct-fingerprints")
+    spread = _dealt_bands(nodes).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
+    forest = stage(spread.mapInArrow(_linker(WIDE_RADIUS, WIDE_ROWS, _forest), "a long, b long, tree long"), "forest")
+    texts = df.select("_fx_nk", "_fx_nh", "_fx_text")
+    found = _confirmed(texts, nodes, stage(forest.select("a", "b").distinct(), "candidate-pairs"))
+    roots = components(found.filter("alike").select("a", "b"))
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
+    refused = found.filter("not alike").join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)")
+    trees = forest.join(stage(refused.select("a", "b"), "refused-pairs"), ["a", "b"], "left_semi").select("tree").distinct()
+    several = forest.join(trees, "tree", "left_semi").groupBy("tree").count().filter("count > 1").select("tree")
+    several = stage(several, "open-trees")
+    if not several.isEmpty():
+        members = forest.join(several, "tree", "left_semi").select(F.col("tree").alias("bucket"), F.explode(F.array("a", "b")).alias("node")).distinct()
+        members = members.join(nodes.select("node", "fp"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        spread = members.select("bucket", "node", "root", "fp").repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
+        more = spread.mapInArrow(_linker(WIDE_RADIUS, WIDE_ROWS, _apart, "root"), "a long, b long").distinct()
+        more = _confirmed(texts, nodes, stage(more.join(found.select("a", "b"), ["a", "b"], "left_anti"), "further-pairs"))
+        roots = components(found.union(more).filter("alike").select("a", "b"))
+    return rows.join(roots, "node", "left").select("doc_id", *keep, F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

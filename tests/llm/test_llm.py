@@ -265,6 +265,29 @@ def test_wide_distance_follows_similarity():
     assert 50 < int(np.bitwise_count(a ^ b).sum()) < 110
 
 
+@pytest.mark.parametrize("bucket", [4096, 4])
+def test_similar_is_exact_at_its_limit(spark, monkeypatch, bucket):
+    """Groups are those of brute force, with texts from 0.6 to 0.95 similar to each other, many just above or below 0.8, and long shared passages."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(60):
+        size = int(rng.integers(30, 300))
+        base = [f"g{g}w{i}" for i in range(size)]
+        for share in (0, 0.1, 0.11, 0.12, 0.2, 0.25):
+            cut = int(round((size - 4) * share))
+            rows.append((len(rows), " ".join([f"g{g}c{len(rows)}x{i}" for i in range(cut)] + base[cut:])))
+    group = list(range(len(rows)))
+    for g in range(0, len(rows), 6):
+        for i in range(g, g + 6):
+            for j in range(g, i):
+                if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                    group = [group[j] if x == group[i] else x for x in group]
+    got = {r["doc_id"]: r["root"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    assert [first.setdefault(got[i], i) for i in range(len(rows))] == [first.setdefault(("want", x), i) for i, x in enumerate(group)]
+
+
 # 5
 
 
