@@ -1,8 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised to level(c) = floor(log2 c). The filter holds the
-items (n-gram, 1) .. (n-gram, level); a probe asks for level 1, 2, ... until one is missing. A count of
-one has level 0 and takes no room. The probability of a word is its smoothed share among all words,
+items (n-gram, 0) .. (n-gram, level); a probe asks for level 0, 1, ... until one is missing. A count of
+one has level 0; an n-gram without any item was not seen. The probability of a word is its smoothed share among all words,
 mixed with its share after the word before it:
 
     p(w | v) = a * c(v, w) / c(v) + (1 - a) * p(w),   p(w) = (c(w) + 1) / (N + V + 1)
@@ -206,7 +206,7 @@ def build_slice(keys: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     items, levels = [], []
     for k, c in zip(keys, counts, strict=True):
         q = _levels(c)
-        for level in range(1, int(q.max(initial=0)) + 1):
+        for level in range(int(q.max(initial=-1)) + 1):
             some = k[q >= level]
             items.append(some)
             levels.append(np.full(len(some), level, np.uint64))
@@ -259,31 +259,34 @@ class Filter:
         self.words = np.frombuffer(b"".join(d for _, d in slices), np.uint64)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level each n-gram has here, 0 for those of other slices."""
+        """floor(log2 count) of each n-gram, 0 also for those not seen."""
+        items = self.items(keys)
+        return items - (items > 0)
+
+    def items(self, keys: np.ndarray) -> np.ndarray:
+        """How many items each n-gram has here, its level and one: 0 for those not seen or of other slices."""
         out = np.zeros(len(keys), np.uint8)
         no = (keys >> np.uint64(64 - self.slice_bits)).astype(np.int64) if self.slice_bits else np.zeros(len(keys), np.int64)
         live = np.flatnonzero(self.size[no])
         level = 0
-        while len(live) and level < MAX_LEVEL:
-            level += 1
+        while len(live) and level <= MAX_LEVEL:
             where, bits = _item(keys[live], level)
             words = self.words[self.offset[no[live]] + (where * self.size[no[live]] >> np.uint64(32)).astype(np.int64)]
             live = live[words & bits == bits]
+            level += 1
             out[live] = level
         return out
 
 
-def probability_sums(tokens: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray, end_level: int, n: int, v: int) -> np.ndarray:
-    """log10 probability of each text from its tokens' levels and pairs' levels."""
-    # A level stands for counts from 2^q to 2^(q+1) - 1; level 0 for none or one.
-    value = np.concatenate(([0.5], 1.4 * 2.0 ** np.arange(1, MAX_LEVEL + 1)))
-    pair = value.copy()
-    pair[0] = 0.0
+def probability_sums(tokens: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray, end_items: int, n: int, v: int) -> np.ndarray:
+    """log10 probability of each text from its tokens' and pairs' numbers of items."""
+    # Level q, of q + 1 items, stands for counts from 2^q to 2^(q+1) - 1; no item for none.
+    value = np.concatenate(([0.0, 1.0], 1.4 * 2.0 ** np.arange(1, MAX_LEVEL + 1)))
     start = np.cumsum(counts) - counts
     before = np.concatenate(([0], one[:-1])).astype(np.int64)
-    before[start] = end_level
+    before[start] = end_items
     share = (value[one] + 1) / (n + v + 1)
-    after = np.minimum(pair[two], value[before]) / value[before]
+    after = np.minimum(value[two], value[before]) / np.maximum(value[before], 1.0)
     if not len(start):
         return np.zeros(0)
     sums = np.array([np.add.reduceat(np.log10(a * after + (1 - a) * share), start) + math.log10(part) for part, a in MIXTURE])
@@ -334,7 +337,7 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, head: int =
         found, end = None, 0
         for part in parts:
             one = _collect_part(slices, slice_bits, part)
-            end = max(end, int(one.value.level(np.array([END], np.uint64))[0]))
+            end = max(end, int(one.value.items(np.array([END], np.uint64))[0]))
             more = stage(_level_rows(rows, one), "lm-levels")
             found = more if found is None else found.union(more)
             one.destroy()
@@ -373,13 +376,13 @@ def _head(slices: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _level_rows(rows: DataFrame, part) -> DataFrame:  # noqa: ANN001
-    """rid, found: the levels of a text's tokens and pairs in one part of the filter, compressed."""
+    """rid, found: the numbers of items of a text's tokens and pairs in one part of the filter, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, pack = Tokens(), zstandard.ZstdCompressor(level=1)
         for batch in chunks(batches, SCORE_BYTES):
             tokens, counts = reader.of(batch.column("text").to_pylist())
-            one, two = part.value.level(tokens), part.value.level(pairs(tokens, counts))
+            one, two = part.value.items(tokens), part.value.items(pairs(tokens, counts))
             to = np.cumsum(counts).tolist()
             found = [pack.compress(one[a:b].tobytes() + two[a:b].tobytes()) for a, b in zip([0, *to[:-1]], to, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], names=["rid", "found"])
@@ -396,8 +399,8 @@ def _score_rows(rows: DataFrame, end_level: int | None, whole, frequent, n: int,
         for batch in chunks(batches, SCORE_BYTES):
             tokens, counts = reader.of(batch.column("text").to_pylist())
             if whole is not None:
-                one, two = whole.value.level(tokens), whole.value.level(pairs(tokens, counts))
-                last = int(whole.value.level(np.array([END], np.uint64))[0])
+                one, two = whole.value.items(tokens), whole.value.items(pairs(tokens, counts))
+                last = int(whole.value.items(np.array([END], np.uint64))[0])
             else:
                 got = [np.maximum.reduce([np.frombuffer(unpack.decompress(x), np.uint8) for x in f]).reshape(2, -1) for f in batch.column("found").to_pylist()]
                 one, two = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint8) for k in (0, 1))

@@ -323,6 +323,17 @@ def test_filter_keeps_every_level():
     assert (f.level(lm_score.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) > 0).mean() < 0.03
 
 
+def test_filter_tells_one_from_none():
+    """N-grams seen once are in the filter, and raise the probability of a text over one of unseen words or pairs."""
+    keys = lm_score.mix(np.arange(1, 3000, dtype=np.uint64))
+    f = lm_score.Filter(0, [(0, lm_score.build_slice([keys], [np.ones(len(keys), np.int64)]).tobytes())])
+    assert (f.items(keys) >= 1).all() and (f.items(keys) == 1).mean() > 0.97
+    assert (f.items(lm_score.mix(np.arange(10**6, 10**6 + 5000, dtype=np.uint64))) > 0).mean() < 0.03
+    one, two = np.array([1, 0, 1, 1], np.uint8), np.array([0, 0, 1, 0], np.uint8)
+    p = lm_score.probability_sums(np.zeros(4, np.uint64), np.ones(4, np.int64), one, two, 1, 100, 50)
+    assert p[0] > p[1] and p[2] > p[0] and p[3] == p[0]
+
+
 def test_tokens_match_split():
     texts = [(r[1] or "").encode() for r in awkward()]
     h, n = lm_score.Tokens().of(texts)
