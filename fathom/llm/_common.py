@@ -73,3 +73,19 @@ def with_key(docs: DataFrame) -> DataFrame:
 def drop_keys(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of with_key() whose key is not in gone. What is to go is a written table, so Spark knows its size and broadcasts it only where small."""
     return keyed.join(stage(gone.select("_fx_k", "_fx_th").distinct(), "gone"), ["_fx_k", "_fx_th"], "left_anti")
+
+
+#: Keys with more rows than this may meet their side by broadcast instead of in one task.
+HOT_ROWS = 256
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of rows with side, which has one row a key and, as n, how many of at most `total` rows have that key.
+
+    Keys with over max(HOT_ROWS, total / 2 ** 16) rows, of which there are at most 2 ** 16, are broadcast,
+    so their rows stay where they are; all others are joined as Spark sees fit. n is dropped.
+    """
+    limit = max(HOT_ROWS, total >> 16)
+    hot = F.broadcast(side.filter(F.col(n) > limit).drop(n))
+    rest = rows.join(F.broadcast(side.filter(F.col(n) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(side.filter(F.col(n) <= limit).drop(n), keys))

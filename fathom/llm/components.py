@@ -1,15 +1,15 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
-Each step sends a node's neighbours to the smallest node it has seen; minima are combined before the
-shuffle, so a node with very many neighbours is no single task's load. Nothing reaches the driver
-but two sums per round.
+Each step sends a node's neighbours to the smallest node it has seen. Minima are combined before the
+shuffle, and the rows of nodes with very many neighbours meet their minimum in a broadcast of at most
+2 ** 16 rows (see join_counted), so no node is a single task's load. Nothing reaches the driver but two sums per round.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fathom.llm._common import stage
+from fathom.llm._common import join_counted, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
             return leaves.union(leaves.select(F.col("root").alias("node"), "root")).distinct()
         before = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_counted(both.filter("v > u"), stage(low, "least"), ["u"], "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stage(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_counted(large, stage(low, "least"), ["u"], "n", 2 * mark[0]).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         now = stage(small.select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "small-star")

@@ -9,12 +9,14 @@ every lane is past the radius.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.llm._common import drop_keys, group_key, stage, table, with_key
@@ -23,11 +25,17 @@ from fathom.llm.components import components
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-#: For whole near-copies: bits, words a shingle, the bits that candidates differ in at most, and the similarity (in hundredths) that links texts.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS, SIMILAR = 512, 5, 120, 1 << 16, 80
-#: Bits of a band; the bits are put in so many fixed orders, and each is cut into bands.
-BAND_BITS, ORDERS = 14, 2
-BAND_AT = np.concatenate([np.random.RandomState(SEED + k).permutation(WIDE)[: WIDE // BAND_BITS * BAND_BITS] for k in range(ORDERS)])
+#: For whole near-copies: bits, words a shingle, and the similarity (in hundredths) that links texts.
+WIDE, WIDE_SHINGLE, SIMILAR = 512, 5, 80
+#: Share of the bits in which texts of that similarity differ on average: the angle between their sets, over pi.
+APART = math.acos(2 * SIMILAR / (100 + SIMILAR)) / math.pi
+#: Words of the fingerprint that a band's row carries, and the bits that candidates differ in at most there: the mean and three deviations.
+CARRIED = 2
+WIDE_RADIUS = round(64 * CARRIED * APART + 3 * math.sqrt(64 * CARRIED * APART * (1 - APART)))
+#: Pairs of that similarity that share no band, at most; and log2 of the unrelated fingerprints in a bucket, which are one block of lanes.
+MISSED, LANES = 0.005, 6
+#: Rows that a task compares at a time, and the share of nodes that large buckets are known by (of their sizes only the plan depends).
+WIDE_ROWS, SAMPLED = 1 << 17, 16
 #: (first bit, bits) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: A larger bucket is filed again under parts of its remaining bits, and then dealt out in tiles.
@@ -205,20 +213,19 @@ def _apart(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    """Fingerprints of a column, longs or binary of one length, as uint64, a column for each word."""
-    if pa.types.is_integer(column.type):
-        return column.to_numpy().view(np.uint64).reshape(-1, 1)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+def _words(batch: pa.RecordBatch) -> np.ndarray:
+    """Fingerprints of a batch as uint64, a column for each word."""
+    names = [k for k in batch.schema.names if k.startswith("fp")]
+    return np.stack([batch.column(k).to_numpy() for k in names], 1).view(np.uint64)
 
 
 def _linker(radius: int, rows: int = ROWS, compare=_compare, *more: str):  # noqa: ANN001, ANN202
-    """Batches of (bucket, node, fp and the longs `more`), sorted by bucket, to edges; whole buckets, about `rows` rows at a time."""
+    """Batches of (bucket, node, fp and the longs `more`), sorted by bucket, to edges; whole buckets, about `rows` rows at a time. A wide fp is in columns fp0, fp1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            new = [batch.column("bucket").to_numpy(), _words(batch.column("fp")), *(batch.column(k).to_numpy() for k in ("node", *more))]
+            new = [batch.column("bucket").to_numpy(), _words(batch), *(batch.column(k).to_numpy() for k in ("node", *more))]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if len(held[0]) >= rows:
                 cut = int(np.searchsorted(held[0], held[0][-1]))
@@ -323,73 +330,114 @@ def wide_fingerprint(text: bytes | None) -> bytes:
     return wide_bits(shingles(text))
 
 
-def _bands(fingerprints: bool):  # noqa: ANN202
-    """(node, fp) to a row for each band of the fingerprint, whose bits are its bucket there, with or without the fingerprint."""
+def bands(nodes: int) -> np.ndarray:
+    """Which bits each band takes, a row a band, for so many fingerprints.
+
+    A band is so wide that a bucket holds about 2 ** LANES unrelated fingerprints at any size of the corpus, and there are so many that MISSED of the pairs of similarity
+    SIMILAR at most share none. The bits are put in fixed random orders, each cut into bands.
+    """
+    width = min(30, max(8, nodes.bit_length() - LANES))
+    count = math.ceil(math.log(MISSED) / math.log(1 - (1 - APART) ** width))
+    orders = [np.random.RandomState(SEED + k).permutation(WIDE)[: WIDE // width * width].reshape(-1, width) for k in range(-(-count // (WIDE // width)))]
+    return np.concatenate(orders)[:count]
+
+
+def band_rows(nodes: DataFrame, at: np.ndarray, carried: int = CARRIED) -> DataFrame:
+    """(bucket, node, fp0, ...) of each band of nodes (node, fp): the band's bits are its bucket, and the first `carried` words of the fingerprint go with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, width = at.shape
+        for whole in batches:
+            for k in range(0, len(whole), 2048):
+                batch = whole.slice(k, 2048)
+                fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(len(batch), -1)
+                bits = np.zeros((len(batch), count, 32), np.uint8)
+                bits[:, :, :width] = np.unpackbits(fp, axis=1, bitorder="little")[:, at.ravel()].reshape(len(batch), count, width)
+                bucket = np.packbits(bits, axis=2, bitorder="little").view(np.uint32)[:, :, 0].astype(np.int64) + (np.arange(count, dtype=np.int64) << 32)
+                words = fp.view(np.int64)
+                columns = [bucket.ravel(), *(np.repeat(x, count) for x in (batch.column("node").to_numpy(), *(words[:, w] for w in range(carried))))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    names = ["bucket", "node", *(f"fp{w}" for w in range(carried))]
+    return nodes.select("node", "fp").mapInArrow(run, ", ".join(f"{k} long" for k in names))
+
+
+def _dealt_bands(nodes: DataFrame, at: np.ndarray) -> DataFrame:
+    """Rows (bucket, node, fp0, fp1) of all bands, large buckets dealt out as in _tiles(): every two tiles of one are a bucket.
+
+    Which buckets are large is known by a share of the nodes; all rows of all buckets are compared in either case.
+    """
+    some = band_rows(nodes.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SAMPLED)) == 0), at, 0)
+    large = some.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) * SAMPLED / BUCKET).alias("tiles")).filter("tiles > 1")
+    large = stage(large, "large-buckets")
+    rows = band_rows(nodes, at)
+    if large.isEmpty():
+        return rows
+    tiled = rows.join(large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    tiled = tiled.withColumn("t", F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = F.when(F.col("tiles") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("t", "o"), F.greatest("t", "o")))
+    return tiled.select(dealt.alias("bucket"), *rows.columns[1:])
+
+
+def _with_words(rows: DataFrame) -> DataFrame:
+    """rows (longs and fp) with the first CARRIED words of the fingerprint, fp0, ..., in place of it."""
+    names = [k for k in rows.columns if k != "fp"]
+    words = [f"fp{w}" for w in range(CARRIED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(BAND_BITS, dtype=np.int64)).astype(np.float32)
         for batch in batches:
-            fp = _words(batch.column("fp"))
-            n, bands = len(fp), len(BAND_AT) // BAND_BITS
-            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, BAND_AT].reshape(n, bands, BAND_BITS)
-            bucket = (np.arange(bands, dtype=np.int64) << BAND_BITS) + (bits.astype(np.float32) @ weights).astype(np.int64)
-            out = {"bucket": pa.array(bucket.ravel())}
-            if fingerprints:
-                data = np.repeat(fp, bands, axis=0).tobytes()
-                offsets = np.arange(0, len(data) + 1, WIDE // 8, dtype=np.int32).tobytes()
-                out |= {"node": pa.array(np.repeat(batch.column("node").to_numpy(), bands)), "fp": pa.Array.from_buffers(pa.binary(), n * bands, [None, pa.py_buffer(offsets), pa.py_buffer(data)])}
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.int64).reshape(len(batch), -1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *(pa.array(fp[:, w]) for w in range(CARRIED))], names=[*names, *words])
 
-    return run
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in [*names, *words]))
 
 
-def _dealt_bands(nodes: DataFrame) -> DataFrame:
-    """Rows (bucket, node, fp) of all bands, large buckets dealt out as in _tiles(). Only these buckets' sizes are joined, at most one for each value of a band, so the fingerprints are shuffled once."""
-    large = nodes.select("node", "fp").mapInArrow(_bands(False), "bucket long").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("tiles")).filter("tiles > 1")
-    rows = nodes.select("node", "fp").mapInArrow(_bands(True), "bucket long, node long, fp binary").join(F.broadcast(stage(large, "large-buckets")), "bucket", "left")
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce("tiles", F.lit(1).cast("long"))))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tiles", F.lit(1).cast("long")) - 1)))
-    dealt = F.when(F.col("tiles").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("t", "o"), F.greatest("t", "o")))
-    return rows.select(dealt.alias("bucket"), "node", "fp")
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, za, zb) to (a, b, alike): whether the Jaccard similarity of the texts' shingles is SIMILAR hundredths or more."""
+    unpack, known = zstandard.ZstdDecompressor(), {}
 
+    def of(node: int, z: bytes) -> np.ndarray:
+        if node not in known:
+            if len(known) >= 64:
+                known.clear()
+            known[node] = shingles(unpack.decompress(z))
+        return known[node]
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sa, sb) to (a, b, alike): whether the sets' Jaccard similarity is SIMILAR hundredths or more."""
     for batch in batches:
         out = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for a, b, za, zb in zip(*(batch.column(k) for k in ("a", "b", "za", "zb")), strict=True):
+            x, y = of(a.as_py(), za.as_py()), of(b.as_py(), zb.as_py())
             both = len(x) + len(y) - len(np.union1d(x, y))
             out.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "alike"])
 
 
 def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, alike for every pair (a, b) of nodes, by the shingles of one text each. texts: _fx_nk, _fx_nh, _fx_text."""
+    """a, b, alike for every pair (a, b) of nodes, by one text of each. texts: _fx_nk, _fx_nh, _fx_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sets = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("_fx_text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), sets], names=["node", "s"])
+            z = pa.array([pack.compress(t.as_py() or b"") for t in batch.column("_fx_text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_fx_nk"), batch.column("_fx_nh"), z], names=["_fx_nk", "_fx_nh", "z"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = stage(nodes.drop("fp").join(ends, "node", "left_semi"), "candidates")
-    sets = texts.join(named, ["_fx_nk", "_fx_nh"]).select("node", "_fx_text").mapInArrow(run, "node long, s binary")
-    # A row that repeats wholly gives its node's set again.
-    sets = stage(sets.dropDuplicates(["node"]), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return stage(both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long, alike boolean"), "confirmed")
+    # Texts are compressed before they move. A row that repeats wholly gives its node's text again.
+    packed = texts.mapInArrow(run, "_fx_nk string, _fx_nh long, z binary")
+    packed = stage(packed.join(named, ["_fx_nk", "_fx_nh"]).select("node", "z").dropDuplicates(["node"]), "candidate-texts")
+    both = pairs.join(packed.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(packed.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    return stage(both.select("a", "b", "za", "zb").mapInArrow(_alike, "a long, b long, alike boolean"), "confirmed")
 
 
 def similar(docs: DataFrame, *keep: str) -> DataFrame:
     """`keep`, doc_id, root for every row of docs: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of them, have one root.
 
-    A node is a set of shingles. Candidates are nodes whose fingerprints have a band of BAND_BITS bits in common and
-    differ in WIDE_RADIUS of WIDE bits at most; at a similarity of 0.8, where 77 bits differ on average with a deviation of 8, 1 pair in
-    1,000 is in no common band. Candidates are linked only if the similarity of their sets, counted exactly, is 0.8 or more. First the pairs of
-    a spanning forest of each bucket are counted; where one is refused and leaves its ends apart, all pairs
-    between different groups of that tree are. So of a group of copies only few pairs are written. Null, empty and
-    repeated texts are treated as in near_duplicates().
+    A node is a set of shingles, with a fingerprint of WIDE bits. Candidates are nodes that share a band of the fingerprint, see bands(), and differ in WIDE_RADIUS of the first 128 bits
+    at most, which are compared bit-sliced where the band's rows meet; of pairs at 0.8 about 1 in 150 fails one of the two. The bits only choose candidates: these are linked only if the similarity of their sets, counted exactly on the
+    whole texts, is 0.8 or more. First the pairs of a spanning forest of each bucket are counted; where one is refused and
+    leaves its ends apart, all pairs between different groups of that tree are. So of a group of copies only few pairs are written. Null, empty, very long and
+    repeated texts are treated as in near_duplicates(); further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +453,7 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     rows = stage(rows, "wide-fingerprints")
     one = F.min(F.struct("_fx_nk", "_fx_nh")).alias("one")
     nodes = stage(rows.groupBy("node").agg(one, F.first("fp").alias("fp")).select("node", "one.*", "fp"), "distinct-fingerprints")
-    spread = _dealt_bands(nodes).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
+    spread = _dealt_bands(nodes, bands(nodes.count())).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
     forest = stage(spread.mapInArrow(_linker(WIDE_RADIUS, WIDE_ROWS, _forest), "a long, b long, tree long"), "forest")
     texts = df.select("_fx_nk", "_fx_nh", "_fx_text")
     found = _confirmed(texts, nodes, stage(forest.select("a", "b").distinct(), "candidate-pairs"))
@@ -418,7 +466,7 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     if not several.isEmpty():
         members = forest.join(several, "tree", "left_semi").select(F.col("tree").alias("bucket"), F.explode(F.array("a", "b")).alias("node")).distinct()
         members = members.join(nodes.select("node", "fp"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = members.select("bucket", "node", "root", "fp").repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
+        spread = _with_words(members.select("bucket", "node", "root", "fp")).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
         more = spread.mapInArrow(_linker(WIDE_RADIUS, WIDE_ROWS, _apart, "root"), "a long, b long").distinct()
         more = _confirmed(texts, nodes, stage(more.join(found.select("a", "b"), ["a", "b"], "left_anti"), "further-pairs"))
         roots = components(found.union(more).filter("alike").select("a", "b"))

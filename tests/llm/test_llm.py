@@ -288,6 +288,31 @@ def test_similar_is_exact_at_its_limit(spark, monkeypatch, bucket):
     assert [first.setdefault(got[i], i) for i in range(len(rows))] == [first.setdefault(("want", x), i) for i, x in enumerate(group)]
 
 
+@pytest.mark.parametrize(("low", "high", "least"), [(0.80, 0.81, 0.95), (0.85, 0.86, 0.98)])
+def test_similar_finds_pairs_near_its_limit(spark, low, high, least):
+    """Recall of pairs just above 0.8, and of 0.85, each pair by itself, among 4000 texts."""
+    rng = np.random.default_rng(17)
+    rows, wanted = [], []
+    for g in range(2000):
+        size = int(rng.integers(60, 240))
+        base = [f"g{g}w{i}" for i in range(size)]
+        n, share = size - 4, rng.uniform(low, high)
+        cut = int(n * (1 - share) / (1 + share))
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([f"g{g}c{i}" for i in range(cut)] + base[cut:]))]
+        wanted.append((n - cut) / (n + cut) >= 0.8)
+    root = {r["doc_id"]: r["root"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    met = [root[2 * g] == root[2 * g + 1] for g in range(2000)]
+    assert not any(m and not w for m, w in zip(met, wanted, strict=True))
+    assert sum(m and w for m, w in zip(met, wanted, strict=True)) >= least * sum(wanted)
+    assert len(set(root.values())) == 4000 - sum(met)
+
+
+def test_bands_grow_with_the_corpus():
+    few, many = simhash.bands(1 << 12), simhash.bands(1 << 30)
+    assert few.shape[1] < many.shape[1] and (1 - (1 - simhash.APART) ** many.shape[1]) ** len(many) <= simhash.MISSED
+    assert all(len(set(b)) == many.shape[1] for b in many.tolist())
+
+
 # 5
 
 
