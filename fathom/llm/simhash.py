@@ -29,9 +29,9 @@ RADIUS = 4
 WIDE, WIDE_SHINGLE, SIMILAR = 512, 5, 80
 #: Share of the bits in which texts of that similarity differ on average: the angle between their sets, over pi.
 APART = math.acos(2 * SIMILAR / (100 + SIMILAR)) / math.pi
-#: Words of the fingerprint that a band's row carries, and the bits that candidates differ in at most there: the mean and three deviations.
+#: Words of the fingerprint that a band's row carries, and the bits that candidates differ in at most, there and in all: the mean and three deviations.
 CARRIED = 2
-WIDE_RADIUS = round(64 * CARRIED * APART + 3 * math.sqrt(64 * CARRIED * APART * (1 - APART)))
+WIDE_RADIUS, FULL_RADIUS = (round(n * APART + 3 * math.sqrt(n * APART * (1 - APART))) for n in (64 * CARRIED, WIDE))
 #: Pairs of that similarity that share no band, at most; and log2 of the unrelated fingerprints in a bucket, which are one block of lanes.
 MISSED, LANES = 0.005, 6
 #: Rows that a task compares at a time, and the share of nodes that large buckets are known by (of their sizes only the plan depends).
@@ -202,17 +202,6 @@ def _forest(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(tree)], names=["a", "b", "tree"])
 
 
-def _apart(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, root: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    """All close pairs within the buckets whose roots differ."""
-    many, end = _shared_buckets(keys)
-    if not many.any():
-        return
-    fp, node, root = fp[many], node[many], root[many]
-    for i, j in close_pairs(fp, end, radius):
-        i, j = i[(differ := root[i] != root[j])], j[differ]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-
-
 def _words(batch: pa.RecordBatch) -> np.ndarray:
     """Fingerprints of a batch as uint64, a column for each word."""
     names = [k for k in batch.schema.names if k.startswith("fp")]
@@ -379,17 +368,47 @@ def _dealt_bands(nodes: DataFrame, at: np.ndarray) -> DataFrame:
     return tiled.select(dealt.alias("bucket"), *rows.columns[1:])
 
 
-def _with_words(rows: DataFrame) -> DataFrame:
-    """rows (longs and fp) with the first CARRIED words of the fingerprint, fp0, ..., in place of it."""
-    names = [k for k in rows.columns if k != "fp"]
-    words = [f"fp{w}" for w in range(CARRIED)]
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, root, fp, z) sorted by bucket to links (a, b) between groups of a bucket: of each pair within FULL_RADIUS of all bits whose groups still differ, the sets are compared."""
+    unpack = zstandard.ZstdDecompressor()
+
+    def links_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        fp = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        group = np.unique(np.array([r[2] for r in rows]), return_inverse=True)[1]
+        sets: list[np.ndarray | None] = [None] * len(rows)
+        out = []
+        for i, j in close_pairs(fp, np.full(len(rows), len(rows)), FULL_RADIUS):
+            at = np.flatnonzero(group[i] != group[j])
+            for x, y in zip(i[at].tolist(), j[at].tolist(), strict=True):
+                if group[x] == group[y]:
+                    continue
+                for k in (x, y):
+                    if sets[k] is None:
+                        sets[k] = shingles(unpack.decompress(rows[k][4]))
+                if alike(sets[x], sets[y]):
+                    group[group == group[y]] = group[x]
+                    out.append((min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in ("bucket", "node", "root", "fp", "z")), strict=True):
+            if rows and row[0] != rows[-1][0]:
+                yield from links_of(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from links_of(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.int64).reshape(len(batch), -1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), *(pa.array(fp[:, w]) for w in range(CARRIED))], names=[*names, *words])
 
-    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in [*names, *words]))
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is SIMILAR hundredths or more."""
+    if 100 * min(len(x), len(y)) < SIMILAR * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= SIMILAR * (len(x) + len(y) - same)
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,14 +425,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for a, b, za, zb in zip(*(batch.column(k) for k in ("a", "b", "za", "zb")), strict=True):
-            x, y = of(a.as_py(), za.as_py()), of(b.as_py(), zb.as_py())
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            out.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
+            out.append(alike(of(a.as_py(), za.as_py()), of(b.as_py(), zb.as_py())))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "alike"])
 
 
-def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, alike for every pair (a, b) of nodes, by one text of each. texts: _fx_nk, _fx_nh, _fx_text."""
+def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, alike for every pair (a, b) of nodes, by one text of each; and these texts, as node, z. texts: _fx_nk, _fx_nh, _fx_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -427,7 +444,7 @@ def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     packed = texts.mapInArrow(run, "_fx_nk string, _fx_nh long, z binary")
     packed = stage(packed.join(named, ["_fx_nk", "_fx_nh"]).select("node", "z").dropDuplicates(["node"]), "candidate-texts")
     both = pairs.join(packed.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(packed.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-    return stage(both.select("a", "b", "za", "zb").mapInArrow(_alike, "a long, b long, alike boolean"), "confirmed")
+    return stage(both.select("a", "b", "za", "zb").mapInArrow(_alike, "a long, b long, alike boolean"), "confirmed"), packed
 
 
 def similar(docs: DataFrame, *keep: str) -> DataFrame:
@@ -436,7 +453,7 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     A node is a set of shingles, with a fingerprint of WIDE bits. Candidates are nodes that share a band of the fingerprint, see bands(), and differ in WIDE_RADIUS of the first 128 bits
     at most, which are compared bit-sliced where the band's rows meet; of pairs at 0.8 about 1 in 150 fails one of the two. The bits only choose candidates: these are linked only if the similarity of their sets, counted exactly on the
     whole texts, is 0.8 or more. First the pairs of a spanning forest of each bucket are counted; where one is refused and
-    leaves its ends apart, all pairs between different groups of that tree are. So of a group of copies only few pairs are written. Null, empty, very long and
+    leaves its ends apart, all pairs between different groups of that tree are that differ in FULL_RADIUS of all bits at most, where the tree's texts meet. So of a group of copies only few pairs are written. Null, empty, very long and
     repeated texts are treated as in near_duplicates(); further columns are ignored.
     """
 
@@ -455,8 +472,7 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     nodes = stage(rows.groupBy("node").agg(one, F.first("fp").alias("fp")).select("node", "one.*", "fp"), "distinct-fingerprints")
     spread = _dealt_bands(nodes, bands(nodes.count())).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
     forest = stage(spread.mapInArrow(_linker(WIDE_RADIUS, WIDE_ROWS, _forest), "a long, b long, tree long"), "forest")
-    texts = df.select("_fx_nk", "_fx_nh", "_fx_text")
-    found = _confirmed(texts, nodes, stage(forest.select("a", "b").distinct(), "candidate-pairs"))
+    found, packed = _confirmed(df.select("_fx_nk", "_fx_nh", "_fx_text"), nodes, stage(forest.select("a", "b").distinct(), "candidate-pairs"))
     roots = components(found.filter("alike").select("a", "b"))
     of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
     refused = found.filter("not alike").join(of("a"), "a", "left").join(of("b"), "b", "left").filter("coalesce(ra, a) <> coalesce(rb, b)")
@@ -465,11 +481,11 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     several = stage(several, "open-trees")
     if not several.isEmpty():
         members = forest.join(several, "tree", "left_semi").select(F.col("tree").alias("bucket"), F.explode(F.array("a", "b")).alias("node")).distinct()
-        members = members.join(nodes.select("node", "fp"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = _with_words(members.select("bucket", "node", "root", "fp")).repartition(F.col("bucket")).sortWithinPartitions("bucket", "node")
-        more = spread.mapInArrow(_linker(WIDE_RADIUS, WIDE_ROWS, _apart, "root"), "a long, b long").distinct()
-        more = _confirmed(texts, nodes, stage(more.join(found.select("a", "b"), ["a", "b"], "left_anti"), "further-pairs"))
-        roots = components(found.union(more).filter("alike").select("a", "b"))
+        members = _tiles(stage(members, "open-members").withColumn("fp", F.col("node"))).select("bucket", "node")
+        members = members.join(nodes.select("node", "fp"), "node").join(packed, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = members.select("bucket", "node", "root", "fp", "z").repartition(F.col("bucket")).sortWithinPartitions("bucket", "node").mapInArrow(_settle, "a long, b long")
+        more = stage(more.distinct(), "further-links")
+        roots = components(found.filter("alike").select("a", "b").union(more))
     return rows.join(roots, "node", "left").select("doc_id", *keep, F.coalesce("root", "node").alias("root"))
 
 
