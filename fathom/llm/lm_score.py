@@ -1,17 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised to level(c) = floor(log2 c). The filter holds the
-items (n-gram, 0) .. (n-gram, level); a probe asks for level 0, 1, ... until one is missing. A count of
-one has level 0; an n-gram without any item was not seen. The probability of a word is its smoothed share among all words,
-mixed with its share after the word before it:
-
-    p(w | v) = a * c(v, w) / c(v) + (1 - a) * p(w),   p(w) = (c(w) + 1) / (N + V + 1)
-
-with the counts that the probes give. Fresh texts and copies want different weights a, so a text's
-probability is the mean, with the shares in MIXTURE, of its probabilities under a few of them. N-grams go to slices by hash; each slice counts its n-grams and
-builds its own part of the filter. As many slices as fit in MAX_FILTER_BYTES are broadcast at a time.
-Exact counts, for the base score, come from a bounded head of frequent tokens that is broadcast, and
-for all others from a shuffle by token.
+Counts of words and word pairs are quantised to level(c) = 1 + floor(log2 c), 0 for those not seen. The
+filter holds the items (n-gram, 1) .. (n-gram, level); a probe asks for level 1, 2, ... until one is missing.
+The probability of a word is smoothed with the word before it and with the words' shares,
+
+    p(w | v) = (c(v, w) + m * p(w)) / (c(v) + m),   p(w) = (c(w) + 1) / (N + V + 1)
+
+with the counts that the probes give, each the middle of its level. m is the one of STRENGTHS under which the held-out texts are most
+probable.
+
+The filter grows with the corpus, so it is never broadcast whole: n-grams go to slices by hash, a slice counts its n-grams and
+builds its part of the filter, and probes go to the slice that would hold them, each n-gram once for
+a chunk of texts. A chunk gets its answers back and scores its texts. So the texts are read a fixed number of times at any size, nothing
+reaches the driver but a few sums, and a task holds one slice or one chunk.
 """
 
 from __future__ import annotations
@@ -22,27 +23,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.llm._common import stage, table
 
 FOLDS, HELD = 7, 2
-#: (share, weight of the word before) of the models whose probabilities a text's is the mean of.
-MIXTURE = ((0.9, 0.01), (0.05, 0.3), (0.05, 0.9))
+#: Pseudo-counts of the words' shares after each word that are tried.
+STRENGTHS = tuple(float(4**k) for k in range(8))
 #: Bits of the filter per item; an item's BITS bits stand in one 64-bit word.
 ITEM_BITS, BITS = 16, 4
-MAX_FILTER_BYTES = 64 << 20
-#: Tokens whose exact counts are broadcast (16 bytes each) at most.
-HEAD = 1 << 18
 #: Text bytes of the corpus for each slice, about; slices are a power of two.
 SLICE_BYTES = 8 << 20
-MAX_LEVEL = 62
+MAX_LEVEL = 63
 PIECE = 1 << 20
-#: Text bytes that a task counts, and scores, at a time (a longer text by itself).
-COUNT_BYTES, SCORE_BYTES = 12 << 20, 3 << 20
+#: Text bytes of a chunk, about (a longer text is a chunk by itself), and those that are scored at a time.
+CHUNK_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
 M = 0x9E3779B97F4A7C15
 SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
-UPPER = bytes(range(65, 91))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,18 +127,7 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         at = to
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that their texts hold about `limit` bytes."""
-    for batch in batches:
-        size = np.array([len(x.as_buffer()) for x in batch.column("text")], np.int64)
-        part = np.cumsum(size) // limit
-        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(size)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
-def pairs(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def pairs(tokens: np.ndarray) -> np.ndarray:
     """Hash of each token with the one before it; the first of a text follows END."""
     before = np.concatenate((np.array([END], np.uint64), tokens[:-1])) if len(tokens) else tokens
     with np.errstate(over="ignore"):
@@ -168,26 +155,81 @@ def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys[new], (np.add.reduceat(counts, new) if len(new) else counts)
 
 
-def count_ngrams(docs: DataFrame, slice_bits: int) -> DataFrame:
-    """slice, grams (order, packed) of the training texts, one row for each batch, order and slice it touches."""
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """chunk, ids, held, texts (compressed) and size of each: the rows of docs (doc_id, text, held_out) in chunks of about CHUNK_BYTES."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, no, held, size = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32, [], 0
+
+        def close() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            texts = rows.column("text").to_pylist()
+            lists = [pa.array([rows.column(k).to_pylist()], pa.list_(rows.column(k).type)) for k in ("doc_id", "held_out")]
+            columns = [pa.array([no], pa.int64()), *lists, pa.array([pack.compress(b"".join(texts))], pa.binary()), pa.array([list(map(len, texts))], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held", "z", "sizes"])
+
+        for batch in batches:
+            bytes_ = np.array([len(x.as_buffer()) for x in batch.column("text")], np.int64)
+            at = 0
+            while at < len(batch):
+                room = np.cumsum(bytes_[at:])
+                n = max(int(np.searchsorted(room, CHUNK_BYTES - size, "right")), 0 if held else 1)
+                if n:
+                    held.append(batch.slice(at, n))
+                    size += int(room[n - 1])
+                at += n
+                if at < len(batch):
+                    yield close()
+                    no, held, size = no + 1, [], 0
+        if held:
+            yield close()
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, z binary, sizes array<bigint>")
+
+
+def _texts(z: bytes, sizes: list[int]) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(z)
+    ends = np.cumsum(sizes).tolist()
+    return [whole[b - n : b] for n, b in zip(sizes, ends, strict=True)]
+
+
+def _grams(reader: Tokens, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, distinct n-grams, their counts) of texts."""
+    tokens, _ = reader.of(texts)
+    for order, grams in ((1, tokens), (2, pairs(tokens))):
+        yield order, *np.unique(grams, return_counts=True)
+
+
+def _by_slice(keys: np.ndarray, slice_bits: int) -> Iterator[tuple[int, int, int]]:
+    edge = np.searchsorted(keys >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1, dtype=np.uint64))
+    for s, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        if b > a:
+            yield s, a, b
+
+
+def count_ngrams(chunks: DataFrame, slice_bits: int) -> DataFrame:
+    """slice, grams (order, packed) of the training texts, one row for each chunk, order and slice it touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Tokens()
-        for batch in chunks(batches, COUNT_BYTES):
-            tokens, counts = reader.of(batch.column("text").to_pylist())
-            out: list[tuple[int, int, bytes]] = []
-            for order, grams in ((1, tokens), (2, pairs(tokens, counts))):
-                keys, n = np.unique(grams, return_counts=True)
-                edge = np.searchsorted(keys >> np.uint64(64 - slice_bits), np.arange((1 << slice_bits) + 1, dtype=np.uint64)) if slice_bits else np.array([0, len(keys)])
-                out += [(s, order, _pack(keys[a:b], n[a:b])) for s, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if b > a]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["slice", "order", "grams"])
+        for batch in batches:
+            for row in batch.to_pylist():
+                texts = [t for t, held in zip(_texts(row["z"], row["sizes"]), row["held"], strict=True) if not held]
+                out = [(s, order, _pack(keys[a:b], n[a:b])) for order, keys, n in _grams(reader, texts) for s, a, b in _by_slice(keys, slice_bits)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["slice", "order", "grams"])
 
-    return docs.select("text").mapInArrow(run, "slice int, order int, grams binary")
+    return chunks.mapInArrow(run, "slice int, order int, grams binary")
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(counts.astype(np.float64))[1] - 1, MAX_LEVEL)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """1 + floor(log2 count)."""
+    return np.minimum(np.frexp(counts.astype(np.float64))[1], MAX_LEVEL)
+
+
+#: The count that a level stands for: none, one, and the middle of 2^(q - 1) to 2^q - 1.
+VALUES = np.concatenate(([0.0, 1.0], (3 * 2.0 ** np.arange(1, MAX_LEVEL) - 1) / 2))
 
 
 def _item(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,20 +245,32 @@ def _item(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.nda
 
 def build_slice(keys: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """The filter's words for the n-grams of a slice."""
-    items, levels = [], []
+    items, at = [], []
     for k, c in zip(keys, counts, strict=True):
-        q = _levels(c)
-        for level in range(int(q.max(initial=-1)) + 1):
+        q = levels(c)
+        for level in range(1, int(q.max(initial=0)) + 1):
             some = k[q >= level]
             items.append(some)
-            levels.append(np.full(len(some), level, np.uint64))
-    item, level = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (items, levels))
+            at.append(np.full(len(some), level, np.uint64))
+    item, level = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (items, at))
     words = np.zeros(max(1, -(-len(item) * ITEM_BITS // 64)), np.uint64)
     where, bits = _item(item, level)
     np.bitwise_or.at(words, (where * np.uint64(len(words)) >> np.uint64(32)).astype(np.int64), bits)
     return words
 
 
+def probe(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each n-gram in a slice of the filter, by membership probes; 0 for those not seen."""
+    out = np.zeros(len(keys), np.uint8)
+    live, level = np.arange(len(keys)), 1
+    while len(live) and level <= MAX_LEVEL:
+        where, bits = _item(keys[live], level)
+        live = live[words[(where * np.uint64(len(words)) >> np.uint64(32)).astype(np.int64)] & bits == bits]
+        out[live] = level
+        level += 1
+    return out
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by slice to one row a slice: tokens, types, the filter's words, the exact token counts."""
 
@@ -227,10 +281,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, c = _sum_by_key(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             keys.append(k)
             counts.append(c)
-        words = build_slice(keys, counts)
-        histogram = np.bincount(_levels(counts[0]), minlength=MAX_LEVEL + 1).tolist() if len(counts[0]) else [0] * (MAX_LEVEL + 1)
-        row = {"slice": [no], "tokens": [int(counts[0].sum())], "types": [len(keys[0])], "filter": [words.tobytes()], "levels": [histogram], "exact": [_pack(keys[0], counts[0])]}
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        row = {"slice": [no], "tokens": [int(counts[0].sum())], "types": [len(keys[0])], "filter": [build_slice(keys, counts).tobytes()], "exact": [_pack(keys[0], counts[0])]}
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
     now, grams = None, {}
@@ -245,179 +297,129 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(now, grams)
 
 
-class Filter:
-    """Some slices of the filter, side by side."""
-
-    def __init__(self, slice_bits: int, slices: list[tuple[int, bytes]]) -> None:
-        self.slice_bits = slice_bits
-        self.size = np.zeros(1 << slice_bits, np.uint64)
-        self.offset = np.zeros(1 << slice_bits, np.int64)
-        at = 0
-        for no, data in slices:
-            self.size[no], self.offset[no] = len(data) // 8, at
-            at += len(data) // 8
-        self.words = np.frombuffer(b"".join(d for _, d in slices), np.uint64)
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """floor(log2 count) of each n-gram, 0 also for those not seen."""
-        items = self.items(keys)
-        return items - (items > 0)
-
-    def items(self, keys: np.ndarray) -> np.ndarray:
-        """How many items each n-gram has here, its level and one: 0 for those not seen or of other slices."""
-        out = np.zeros(len(keys), np.uint8)
-        no = (keys >> np.uint64(64 - self.slice_bits)).astype(np.int64) if self.slice_bits else np.zeros(len(keys), np.int64)
-        live = np.flatnonzero(self.size[no])
-        level = 0
-        while len(live) and level <= MAX_LEVEL:
-            where, bits = _item(keys[live], level)
-            words = self.words[self.offset[no[live]] + (where * self.size[no[live]] >> np.uint64(32)).astype(np.int64)]
-            live = live[words & bits == bits]
-            level += 1
-            out[live] = level
-        return out
-
-
-def probability_sums(tokens: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray, end_items: int, n: int, v: int) -> np.ndarray:
-    """log10 probability of each text from its tokens' and pairs' numbers of items."""
-    # Level q, of q + 1 items, stands for counts from 2^q to 2^(q+1) - 1; no item for none.
-    value = np.concatenate(([0.0, 1.0], 1.4 * 2.0 ** np.arange(1, MAX_LEVEL + 1)))
-    start = np.cumsum(counts) - counts
-    before = np.concatenate(([0], one[:-1])).astype(np.int64)
-    before[start] = end_items
-    share = (value[one] + 1) / (n + v + 1)
-    after = np.minimum(value[two], value[before]) / np.maximum(value[before], 1.0)
-    if not len(start):
-        return np.zeros(0)
-    sums = np.array([np.add.reduceat(np.log10(a * after + (1 - a) * share), start) + math.log10(part) for part, a in MIXTURE])
-    best = sums.max(axis=0)
-    return best + np.log10((10.0 ** (sums - best)).sum(axis=0))
+def train(chunks: DataFrame, slice_bits: int) -> DataFrame:
+    """The model: slice, tokens, types, filter, exact; a row a slice, a written table."""
+    grams = count_ngrams(chunks, slice_bits).repartition("slice").sortWithinPartitions("slice")
+    return stage(grams.mapInArrow(_merge, "slice int, tokens long, types long, filter binary, exact binary"), "ngram-slices")
 
 
-def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
-
-    A null or empty text is its end alone. A null doc_id counts as the text ''. Repeated rows are each a text.
-    Without training texts N and V are 0 and every token is unknown; an empty table gives no rows. Further columns are
-    ignored.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD
-    keyed = docs.select("doc_id", text.cast("binary").alias("text"), held.alias("held_out"))
-    size = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    slice_bits = max(4, min(20, math.ceil(math.log2(size / SLICE_BYTES + 1))))
-    grams = count_ngrams(keyed.filter("not held_out"), slice_bits).repartition("slice").sortWithinPartitions("slice")
-    slices = stage(grams.mapInArrow(_merge, "slice int, tokens long, types long, filter binary, levels array<bigint>, exact binary"), "ngram-slices")
-    about = slices.select("slice", "tokens", "types", F.length("filter").alias("bytes"), "levels").orderBy("slice").collect()  # a row per slice
-    n, v = sum(r["tokens"] for r in about), sum(r["types"] for r in about)
-
-    # The head: tokens of the highest levels, as many levels as fit.
-    level, have = MAX_LEVEL + 1, 0
-    while level > 0 and have + sum(r["levels"][level - 1] for r in about) <= head:
-        level -= 1
-        have += sum(r["levels"][level] for r in about)
-    frequent = _head(slices, 1 << level) if level <= MAX_LEVEL else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    frequent = spark.sparkContext.broadcast(frequent)
-
-    parts: list[list[int]] = [[]]
-    room = max_filter_bytes
-    for r in about:
-        if r["bytes"] > room and parts[-1]:
-            parts.append([])
-            room = max_filter_bytes
-        parts[-1].append(r["slice"])
-        room -= r["bytes"]
-    if len(parts) == 1:
-        whole = _collect_part(slices, slice_bits, parts[0])
-        scored = _score_rows(keyed, None, whole, frequent, n, v)
-    else:
-        # One part at a time is on the driver and the executors; what it says of each text is written, then joined.
-        rows = stage(keyed.withColumn("rid", F.monotonically_increasing_id()), "lm-texts")
-        found, end = None, 0
-        for part in parts:
-            one = _collect_part(slices, slice_bits, part)
-            end = max(end, int(one.value.items(np.array([END], np.uint64))[0]))
-            more = stage(_level_rows(rows, one), "lm-levels")
-            found = more if found is None else found.union(more)
-            one.destroy()
-        found = found.groupBy("rid").agg(F.collect_list("found").alias("found"))
-        scored = _score_rows(rows.join(found, "rid"), end, None, frequent, n, v)
-    scored = stage(scored.withColumn("rid", F.monotonically_increasing_id()), "lm-scores")
-    tail = scored.select("rid", "held_out", F.explode("tail").alias("h"))
-    c = F.sum(F.when(F.col("held_out"), 0).otherwise(1)).over(W.partitionBy("h"))
-    tail = tail.withColumn("c", c).filter("c > 0").groupBy("rid").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("part"))
-    out = scored.drop("tail").join(tail, "rid", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_part") + F.coalesce("part", F.lit(0.0)) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score",
-    )
-
-
-def _collect_part(slices: DataFrame, slice_bits: int, part: list[int]):  # noqa: ANN202
-    """Broadcast of the filter's slices named, max_filter_bytes at most (a single slice is some 4 bytes per n-gram of SLICE_BYTES of text)."""
-    rows = slices.filter(F.col("slice").isin(part)).select("slice", "filter").collect() if part else []
-    return slices.sparkSession.sparkContext.broadcast(Filter(slice_bits, [(r["slice"], bytes(r["filter"])) for r in rows]))
-
-
-def _head(slices: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the tokens that occur `least` times or more, sorted by hash; HEAD tokens at most."""
+def _probes(chunks: DataFrame, slice_bits: int) -> DataFrame:
+    """slice, chunk, order, at, grams: the distinct n-grams of a chunk that belong to a slice; at is where they stand among the chunk's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Tokens()
         for batch in batches:
-            for data in batch.column("exact").to_pylist():
-                k, c = _unpack(data)
-                yield pa.RecordBatch.from_arrays([pa.array(k[c >= least].view(np.int64)), pa.array(c[c >= least])], names=["h", "c"])
-
-    got = slices.select("exact").mapInArrow(run, "h long, c long").toArrow()
-    k, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
+            for row in batch.to_pylist():
+                out = [(s, row["chunk"], order, a, _pack(keys[a:b], np.zeros(b - a, np.int64))) for order, keys, _ in _grams(reader, _texts(row["z"], row["sizes"])) for s, a, b in _by_slice(keys, slice_bits)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["slice", "chunk", "order", "at", "grams"])
 
+    return chunks.mapInArrow(run, "slice int, chunk long, order int, at long, grams binary")
 
-def _level_rows(rows: DataFrame, part) -> DataFrame:  # noqa: ANN001
-    """rid, found: the numbers of items of a text's tokens and pairs in one part of the filter, compressed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, pack = Tokens(), zstandard.ZstdCompressor(level=1)
-        for batch in chunks(batches, SCORE_BYTES):
-            tokens, counts = reader.of(batch.column("text").to_pylist())
-            one, two = part.value.items(tokens), part.value.items(pairs(tokens, counts))
-            to = np.cumsum(counts).tolist()
-            found = [pack.compress(one[a:b].tobytes() + two[a:b].tobytes()) for a, b in zip([0, *to[:-1]], to, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.binary())], names=["rid", "found"])
-
-    return rows.select("rid", "text").mapInArrow(run, "rid long, found binary")
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice, the model's (chunk null) before the probes, to chunk, order, at, found: a level for each n-gram, and exact counts of single tokens."""
+    pack, now = zstandard.ZstdCompressor(level=1), None
+    words = np.zeros(1, np.uint64)
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        out = []
+        for s, chunk, order, at, grams, model, exact in zip(*(batch.column(k) for k in ("slice", "chunk", "order", "at", "grams", "filter", "exact")), strict=True):
+            if not chunk.is_valid:
+                now, words = s.as_py(), np.frombuffer(model.as_py(), np.uint64)
+                keys, counts = _unpack(exact.as_py())
+                continue
+            if s.as_py() != now:  # a slice without training n-grams
+                now, words, keys, counts = s.as_py(), np.zeros(1, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            asked, _ = _unpack(grams.as_py())
+            found = probe(words, asked).tobytes()
+            if order.as_py() == 1:
+                place = np.searchsorted(keys, asked)
+                place[place == len(keys)] = 0
+                exactly = np.where(keys[place] == asked, counts[place], 0) if len(keys) else np.zeros(len(asked), np.int64)
+                found += np.ascontiguousarray(exactly.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+            out.append((chunk.as_py(), order.as_py(), at.as_py(), pack.compress(found)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "order", "at", "found"])
+
+
+def probability_sums(counts: np.ndarray, one: np.ndarray, two: np.ndarray, end_level: int, n: int, v: int) -> np.ndarray:
+    """log10 probability of each text under each of STRENGTHS (a row each), from its tokens' and pairs' levels."""
+    start = np.cumsum(counts) - counts
+    before = np.concatenate(([0], one[:-1])).astype(np.int64)
+    before[start] = end_level
+    share = (VALUES[one] + 1) / (n + v + 1)
+    after, context = np.minimum(VALUES[two], VALUES[before]), VALUES[before]
+    return np.array([np.add.reduceat(np.log10((after + m * share) / (context + m)), start) for m in STRENGTHS])
 
 
-def _score_rows(rows: DataFrame, end_level: int | None, whole, frequent, n: int, v: int) -> DataFrame:  # noqa: ANN001
-    """doc_id, held_out, n_tokens, score, and of the base score: the head's part, and the hashes of the other tokens."""
+def _scored(chunks: DataFrame, kind: str, n: int, v: int, end_level: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base, sums for each text of chunks, which come with their answers (order, at, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, unpack = Tokens(), zstandard.ZstdDecompressor()
-        head, head_counts = frequent.value
-        for batch in chunks(batches, SCORE_BYTES):
-            tokens, counts = reader.of(batch.column("text").to_pylist())
-            if whole is not None:
-                one, two = whole.value.items(tokens), whole.value.items(pairs(tokens, counts))
-                last = int(whole.value.items(np.array([END], np.uint64))[0])
-            else:
-                got = [np.maximum.reduce([np.frombuffer(unpack.decompress(x), np.uint8) for x in f]).reshape(2, -1) for f in batch.column("found").to_pylist()]
-                one, two = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint8) for k in (0, 1))
-                last = end_level
-            scores = probability_sums(tokens, counts, one, two, last, n, v)
-            at = np.searchsorted(head, tokens)
-            at[at == len(head)] = 0
-            known = head[at] == tokens if len(head) else np.zeros(len(tokens), bool)
-            part = np.where(known, np.log10(head_counts[at] + 1.0), 0.0) if len(head) else np.zeros(len(tokens))
-            start = np.cumsum(counts) - counts
-            rest = np.concatenate(([0], np.cumsum(~known)))
-            offsets = pa.array(np.concatenate((rest[start], rest[-1:])).astype(np.int32))
-            tail = pa.ListArray.from_arrays(offsets, pa.array(tokens[~known].view(np.int64)))
-            sums = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(counts), pa.array(scores), pa.array(sums(known.astype(np.int64)).astype(np.int64)), pa.array(sums(part)), tail], names=["doc_id", "held_out", "n_tokens", "score", "head_known", "head_part", "tail"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, score double, head_known long, head_part double, tail array<bigint>")
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                level, exact = {1: [], 2: []}, []
+                for x in sorted(row["found"], key=lambda x: (x["order"], x["at"])):
+                    raw = np.frombuffer(unpack.decompress(x["found"]), np.uint8)
+                    k = len(raw) // 9 if x["order"] == 1 else len(raw)
+                    level[x["order"]].append(raw[:k])
+                    if x["order"] == 1:
+                        exact.append(np.ascontiguousarray(raw[k:].reshape(8, k).T).view(np.int64).ravel())
+                texts = _texts(row["z"], row["sizes"])
+                tokens, counts = reader.of(texts)
+                back = [np.unique(g, return_inverse=True)[1] for g in (tokens, pairs(tokens))]
+                one, two = (np.concatenate(level[order])[b] for order, b in zip((1, 2), back, strict=True))
+                c = np.concatenate(exact)[back[0]]
+                known = np.log10(c + 1.0)
+                # The texts are scored a part at a time, as the sums take a row of doubles for each strength.
+                part = np.cumsum(np.array(row["sizes"]) + 1) // SCORE_BYTES
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(counts)]
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    x, y, own = ends[a], ends[b], counts[a:b]
+                    first = np.cumsum(own) - own
+                    sums = probability_sums(own, one[x:y], two[x:y], end_level, n, v)
+                    columns = [pa.array(row["ids"][a:b], batch.schema.field("ids").type.value_type), pa.array(row["held"][a:b], pa.bool_()), pa.array(own), pa.array(np.add.reduceat((c[x:y] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(known[x:y], first)), pa.array(list(sums.T), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "sums"])
+
+    return chunks.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, sums array<double>")
+
+
+def _end_level(model: DataFrame, slice_bits: int) -> int:
+    rows = model.filter(F.col("slice") == END >> (64 - slice_bits)).select("filter").collect()  # one slice
+    return int(probe(np.frombuffer(rows[0]["filter"], np.uint64), np.array([END], np.uint64))[0]) if rows else 0
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and strength (m) for each row of docs.
+
+    A null or empty text is its end alone; a text of any length is one chunk at most. A null doc_id counts as the text ''. Repeated rows are each a text.
+    Without training texts N and V are 0 and every token is unknown; without held-out texts m is the smallest; an empty table gives no rows. Further columns are
+    ignored.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD
+    chunks = stage(chunk_rows(docs.select("doc_id", text.cast("binary").alias("text"), held.alias("held_out"))), "lm-chunks")
+    size = chunks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    slice_bits = max(4, min(20, math.ceil(math.log2(size / SLICE_BYTES + 1))))
+    model = train(chunks, slice_bits)
+    about = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+    n, v = about["n"] or 0, about["v"] or 0
+    none = lambda *names: [F.lit(None).cast(t).alias(k) for k, t in names]
+    probes = _probes(chunks, slice_bits).select("slice", "chunk", "order", "at", "grams", *none(("filter", "binary"), ("exact", "binary")))
+    both = model.select("slice", *none(("chunk", "long"), ("order", "int"), ("at", "long"), ("grams", "binary")), "filter", "exact").union(probes)
+    found = both.repartition("slice").sortWithinPartitions("slice", F.col("chunk").asc_nulls_first()).mapInArrow(_answers, "chunk long, order int, at long, found binary")
+    found = found.groupBy("chunk").agg(F.collect_list(F.struct("order", "at", "found")).alias("found"))
+    scored = stage(_scored(chunks.join(found.hint("merge"), "chunk"), dict(docs.dtypes)["doc_id"], n, v, _end_level(model, slice_bits)), "lm-scores")
+    totals = scored.filter("held_out").agg(*(F.sum(F.get("sums", F.lit(k))) for k in range(len(STRENGTHS)))).first()
+    best = max(range(len(STRENGTHS)), key=lambda k: totals[k]) if totals[0] is not None else 0
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+        F.get("sums", F.lit(best)).alias("score"), F.lit(STRENGTHS[best]).alias("strength"),
+    )
 
 
 def op5_bloom_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
