@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot i of the schedule has the golden-ratio point frac(i * 0.618...), which falls into one source's
-interval of the cumulative targets. Slots are ranked within their source; rank r takes block
-r mod blocks of that source's shuffled stream of equal-token blocks, so a source is read through
-at most MAX_EPOCHS times, block by block, in the schedule's order.
+interval of the cumulative targets. Slots are ranked within their source, and the ranks share the source's
+target in blocks of equal tokens: rank r takes block r of the source's shuffled stream, read on
+from its start up to MAX_EPOCHS times, the last block as long as what is left. So each source gives its target to the word, however small it is, and
+sources alternate along the schedule in proportion to their targets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from fathom.llm._common import WORD, group_key, running, stage, table, with_key
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 9_001
-#: The schedule has about this many slots at most; the tokens of a block follow from it.
+#: Slots of the schedule, about; the tokens of a source's blocks follow from its target and its slots.
 SLOTS = 1 << 20
 GOLDEN = 0.6180339887498949
 CELLS = 1024
@@ -44,25 +45,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return df.withColumn("target", F.when(F.col("_fx_capped"), F.col("_fx_cap")).otherwise(F.col("_fx_w") * level)).select("_fx_g", "source", "source_size", "target", "_fx_total")
 
 
-def schedule(spark: SparkSession, goal: DataFrame, total: int, block: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """slot, _fx_g, block_no, epoch: which block of which source each slot takes. goal: what targets() gives."""
-    cum = F.sum("target").over(W.orderBy(F.col("source").asc_nulls_last()))
-    goal = goal.withColumn("_fx_hi", F.greatest(cum, F.lit(0.0)) / total).withColumn("_fx_lo", F.col("_fx_hi") - F.col("target") / total)
-    last = F.max("_fx_hi").over(W.partitionBy())
-    goal = goal.withColumn("_fx_hi", F.when(F.col("_fx_hi") >= last - 1e-12, F.lit(1.0)).otherwise(F.col("_fx_hi"))).filter("target > 0")
-    goal = goal.withColumn("_fx_lo", F.coalesce(F.lag("_fx_hi").over(W.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0)))
+def schedule(spark: SparkSession, goal: DataFrame, n: int) -> DataFrame:
+    """slot, _fx_g, _fx_rank: whose each of n slots is, and its rank there. A source without a slot gets one after the others. goal: what targets() gives."""
+    by_name = W.orderBy(F.col("source").asc_nulls_last())
+    total = F.greatest(F.sum("target").over(W.partitionBy()), F.lit(1e-300))
+    goal = goal.filter("target > 0").withColumn("_fx_hi", F.sum("target").over(by_name) / total)
+    last = F.row_number().over(W.orderBy(F.col("source").desc_nulls_first())) == 1
+    goal = goal.withColumn("_fx_hi", F.when(last, F.lit(1.0)).otherwise(F.col("_fx_hi")))
+    goal = goal.withColumn("_fx_lo", F.coalesce(F.lag("_fx_hi").over(by_name), F.lit(0.0))).withColumn("_fx_no", F.row_number().over(by_name))
     # A range join as an equi-join: each interval is listed in the cells it touches.
     cell = F.explode(F.sequence(F.floor(F.col("_fx_lo") * CELLS), F.least(F.floor(F.col("_fx_hi") * CELLS), F.lit(CELLS - 1))))
-    blocks = F.ceil(F.col("source_size") / block)
-    cells = goal.select("_fx_g", "_fx_lo", "_fx_hi", blocks.alias("_fx_blocks"), cell.alias("_fx_cell"))
-    n = -(-total // block)
+    cells = goal.select("_fx_g", "_fx_lo", "_fx_hi", cell.alias("_fx_cell"))
     slots = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") * GOLDEN) % 1.0).alias("_fx_u"))
     slots = slots.withColumn("_fx_cell", F.floor(F.col("_fx_u") * CELLS))
-    slots = slots.join(cells, "_fx_cell").filter("_fx_u >= _fx_lo and _fx_u < _fx_hi").select("slot", "_fx_g", "_fx_blocks")
-    slots = slots.withColumn("_fx_b", F.expr(f"slot div {max(1, n >> 8)}"))
-    slots = running(slots, ["_fx_g"], "_fx_b", ["slot"], F.lit(1), "_fx_rank")
-    slots = slots.filter(F.col("_fx_rank") < F.col("_fx_blocks") * max_epochs)
-    return slots.select("slot", "_fx_g", F.expr("_fx_rank % _fx_blocks").alias("block_no"), F.expr("_fx_rank div _fx_blocks").alias("epoch"))
+    slots = slots.join(cells, "_fx_cell").filter("_fx_u >= _fx_lo and _fx_u < _fx_hi").select("slot", "_fx_g")
+    slots = stage(slots, "mix-slots")
+    without = goal.join(slots.select("_fx_g").distinct(), "_fx_g", "left_anti").select((F.col("_fx_no") + n - 1).cast("long").alias("slot"), "_fx_g")
+    slots = slots.union(without).withColumn("_fx_b", F.expr(f"slot div {max(1, n >> 8)}"))
+    return running(slots, ["_fx_g"], "_fx_b", ["slot"], F.lit(1), "_fx_rank").select("slot", "_fx_g", "_fx_rank")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, slots: int = SLOTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -81,18 +81,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     sizes = rows.groupBy("_fx_g").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = stage(targets(sizes, weights, max_epochs), "mix-targets")
     total = (goal.agg(F.max("_fx_total")).first()[0]) or 0
-    block = max(1, -(-total // slots))
     wide = rows.join(goal.select("_fx_g", "source_size", "target"), "_fx_g")
     if total == 0:
         return wide.select(*keep, "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    times = schedule(docs.sparkSession, goal, total, block, max_epochs).groupBy("_fx_g", "block_no").agg(F.count(F.lit(1)).alias("_fx_times"))
+    plan = stage(schedule(docs.sparkSession, goal, min(slots, total)), "mix-schedule")
+    words_sql = f"least(floor(target + 0.5), source_size * {max_epochs})"
+    # A source's words to take, and the words of its blocks: the same for each of its slots, the last one's remainder apart.
+    blocks = goal.join(plan.groupBy("_fx_g").agg(F.count(F.lit(1)).alias("_fx_slots")), "_fx_g").select("_fx_g", F.expr(words_sql).alias("_fx_t"), F.expr(f"({words_sql} + _fx_slots - 1) div _fx_slots").alias("_fx_block"))
     # monotonically_increasing_id is stable here: it numbers a staged table.
     at = running(stage(wide.withColumn("_fx_id", F.monotonically_increasing_id()), "mix-wide"), ["_fx_g"], "_fx_b", ["_fx_h", *keep, "_fx_id"], F.col("size"), "_fx_at")
     at = stage(at, "mix-offsets")
-    pieces = at.filter("size > 0").select("_fx_id", "_fx_g", "_fx_at", "size", F.explode(F.expr(f"sequence(_fx_at div {block}, (_fx_at + size - 1) div {block})")).alias("block_no"))
-    pieces = pieces.join(times, ["_fx_g", "block_no"])
-    part = F.least(F.col("_fx_at") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest(F.col("_fx_at"), F.col("block_no") * block)
-    taken = pieces.groupBy("_fx_id").agg(F.sum(part * F.col("_fx_times")).alias("_fx_taken"))
+    read = at.filter("size > 0").select("_fx_id", "_fx_g", "_fx_at", "size", "source_size").join(stage(blocks.filter("_fx_t > 0"), "mix-blocks"), "_fx_g")
+    # Each time the stream is read, a document stands one source further on.
+    read = read.withColumn("_fx_lo", F.explode(F.expr("transform(sequence(0L, (_fx_t - 1) div source_size), e -> e * source_size + _fx_at)"))).withColumn("_fx_to", F.expr("least(_fx_lo + size, _fx_t)")).filter("_fx_to > _fx_lo")
+    pieces = read.select("_fx_id", "_fx_g", "_fx_lo", "_fx_to", "_fx_block", F.explode(F.expr("sequence(_fx_lo div _fx_block, (_fx_to - 1) div _fx_block)")).alias("_fx_rank"))
+    pieces = pieces.join(plan, ["_fx_g", "_fx_rank"])
+    part = F.least(F.col("_fx_to"), (F.col("_fx_rank") + 1) * F.col("_fx_block")) - F.greatest(F.col("_fx_lo"), F.col("_fx_rank") * F.col("_fx_block"))
+    taken = pieces.groupBy("_fx_id").agg(F.sum(part).alias("_fx_taken"))
     out = at.join(taken, "_fx_id", "left")
     return out.select(*keep, "source", "size", "source_size", "target", F.coalesce("_fx_taken", F.lit(0)).cast("long").alias("taken"))
 
