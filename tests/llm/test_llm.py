@@ -466,24 +466,75 @@ def test_line_dedup_of_random_lines(spark):
 # 8
 
 
-def test_license_scan(spark):
-    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
-    rows = [
-        (1, "a", mit), (2, "a/b", prose(1, 50) + "\n" + gpl + "\n" + prose(2, 50)), (3, "a/b", prose(3, 50)), (4, "a/b/c", gpl), (5, "a/b/c/d", prose(4, 60)), (6, "z", prose(5, 60)),
-        (7, None, None), (8, "a/bb", ""), (9, "a/b", prose(3, 50)),
+def brute_licenses(rows, templates, threshold):
+    """(own, score, line, license, inherited_from) of rows (doc_id, dir, text), by all blocks and exact cosines."""
+    names = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    df = Counter(x for r in rows for x in set(names(r[2])))
+    vector = lambda ts: {t: n * (math.log((len(rows) + 1) / (df[t] + 1)) + 1) for t, n in Counter(ts).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out, of_dir = [], {}
+    for d, place, text in rows:
+        lines, hits, file = [names(x) for x in (text or "").split("\n")], [], False
+        for t in templates:
+            v = vector(names(t.text))
+            blocks = {(0, len(lines) - 1)}
+            for i in range(len(lines)):
+                end, held = i, len(lines[i])
+                while end + 1 < len(lines) and held < len(names(t.text)):
+                    end += 1
+                    held += len(lines[end])
+                blocks.add((i, end))
+            for i, end in blocks:
+                w = vector([x for line in lines[i : end + 1] for x in line])
+                score = round(sum(x * v.get(k, 0) for k, x in w.items()) / (norm(v) * norm(w)), 9) if w else 0
+                if score >= threshold:
+                    hits.append((-score, i, t.license))
+                    file |= t.body or (i, end) == (0, len(lines) - 1)
+        best = min(hits, default=None)
+        out.append((d, place or "", best))
+        if file:
+            of_dir.setdefault(place or "", []).append((best[0], d, best[2]))
+    final = []
+    for d, place, best in out:
+        ups = [("/".join(place.split("/")[:k])) for k in range(len(place.split("/")), -1, -1)]
+        up = next((u for u in ups if u in of_dir), None)
+        inherited = None if best or up is None else up
+        final.append((d, best and best[2], best and -best[0], best and best[1] + 1, best[2] if best else min(of_dir[up])[2] if up is not None else None, inherited))
+    return sorted(final, key=repr)
+
+
+def wrapped(text, width=60):
+    """The text in lines of about `width` characters, as comments."""
+    out = [""]
+    for w in text.split():
+        if len(out[-1]) > width:
+            out.append("")
+        out[-1] += " " + w
+    return "\n".join("#" + x for x in out)
+
+
+def license_rows():
+    body = {t.license: t.text for t in license_scan.TEMPLATES if t.body}
+    notice = {t.license: t.text for t in license_scan.TEMPLATES if not t.body}
+    long = lambda t: "Copyright 2020 A. Person\n\n" + wrapped(t) + "\n"
+    return [
+        (1, "a", long(body["MIT"])), (2, "a/b", prose(1, 900) + "\n" + wrapped(notice["GPL-3.0"]) + "\n" + prose(2, 900)), (3, "a/b", prose(3, 50)), (4, "a/b/c", long(body["GPL-3.0"]) + prose(7, 3000)),
+        (5, "a/b/c/d", prose(4, 60)), (6, "z", prose(5, 60)), (7, None, None), (8, "a/bb", ""), (9, "a/b", prose(3, 50)), (10, "y", long(body["Apache-2.0"]) + prose(8, 2000)), (11, "y/k", wrapped(notice["Apache-2.0"], 40) + "\ncode = 1"),
+        (12, "x", long(body["BSD-3-Clause"])), (13, "x/y/z", prose(9, 30)), (14, "w", "Released under the MIT License."), (15, "w/v", "one\ntwo"), (15, "w/v", "one\ntwo"),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, dir string, text string")
-    got = {r["doc_id"]: (r["own"], r["license"], r["inherited_from"]) for r in license_scan.scan(clash(df)).collect()}
-    assert got == {
-        1: ("MIT", "MIT", None), 2: ("GPL-3.0", "GPL-3.0", None), 3: (None, "MIT", "a"), 4: ("GPL-3.0", "GPL-3.0", None), 5: (None, "GPL-3.0", "a/b/c"), 6: (None, None, None),
-        7: (None, None, None), 8: (None, "MIT", "a"), 9: (None, "MIT", "a"),
-    }
-
-
-def test_license_scores_are_cosines():
-    m = license_scan.Matcher({"x": "alpha beta", "y": "beta gamma gamma"}, {"alpha": 1, "beta": 8, "gamma": 2}, 9)
-    assert m.best("alpha beta")[1] == "x" and math.isclose(m.best("Alpha, beta!")[0], 1)
-    assert m.best("delta") is None and m.best("gamma beta delta")[0] < 1
+
+
+def test_license_scan(spark):
+    rows = license_rows()
+    df = spark.createDataFrame(rows, "doc_id long, dir string, text string").repartition(3)
+    cols = ["doc_id", "own", "own_score", "line", "license", "inherited_from"]
+    got = rows_of(license_scan.scan(clash(df)).select(*cols))
+    want = brute_licenses(rows, license_scan.TEMPLATES, license_scan.THRESHOLD)
+    assert [(*g[:2], *g[3:]) for g in got] == [(*w[:2], *w[3:]) for w in want]
+    assert np.allclose([g[2] or 0 for g in got], [w[2] or 0 for w in want], atol=1e-8)
+    of = {g[0]: (g[1], g[4], g[5]) for g in got}
+    assert [of[k][1] for k in (1, 2, 3, 4, 5, 10, 11, 12, 13)] == ["MIT", "GPL-3.0", "MIT", "GPL-3.0", "GPL-3.0", "Apache-2.0", "Apache-2.0", "BSD-3-Clause", "BSD-3-Clause"]
+    assert of[5][2] == "a/b/c" and of[13][2] == "x" and of[6] == (None, None, None) and of[15] == (None, "MIT", "w")
 
 
 # 9
