@@ -237,9 +237,9 @@ def _compare_buckets(rows: DataFrame, radius: int = RADIUS, at_once: int = ROWS)
     return spread.mapInArrow(_linker(radius, at_once), "a long, b long")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
+def _tiles(rows: DataFrame, size: int = 0) -> DataFrame:
     """rows (bucket, ...) with large buckets dealt out: rows go to tiles by hash, and every two tiles are a bucket of their own."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("tiles"))
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / (size or BUCKET)).alias("tiles"))
     tile = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles"))
     out = rows.join(sizes, "bucket").withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     return out.withColumn("bucket", F.xxhash64("bucket", F.least("t", "o"), F.greatest("t", "o"))).select(*rows.columns)
@@ -481,7 +481,7 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
     several = stage(several, "open-trees")
     if not several.isEmpty():
         members = forest.join(several, "tree", "left_semi").select(F.col("tree").alias("bucket"), F.explode(F.array("a", "b")).alias("node")).distinct()
-        members = _tiles(stage(members, "open-members").withColumn("fp", F.col("node"))).select("bucket", "node")
+        members = _tiles(stage(members, "open-members").withColumn("fp", F.col("node")), min(BUCKET, 512)).select("bucket", "node")
         members = members.join(nodes.select("node", "fp"), "node").join(packed, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = members.select("bucket", "node", "root", "fp", "z").repartition(F.col("bucket")).sortWithinPartitions("bucket", "node").mapInArrow(_settle, "a long, b long")
         more = stage(more.distinct(), "further-links")
