@@ -31,7 +31,7 @@ class Threshold:
 
 
 THRESHOLDS = (
-    Threshold("n_words", low=10, high=1_000_000),
+    Threshold("n_words", low=10),
     Threshold("mean_word_chars", low=2, high=12),
     Threshold("symbol_ratio", high=0.10),
     Threshold("stop_ratio", low=0.05),
