@@ -1 +1,15 @@
 """Fathom: equity factor and risk analysis on Spark DataFrames."""
+
+from fathom.errors import FathomError
+from fathom.operators.attribution import attribution_over_time, factor_attribution, portfolio_attribution, security_attribution
+from fathom.operators.covariance import ewma, ledoit_wolf, newey_west
+from fathom.operators.factors import scores
+from fathom.operators.model import RiskModel, risk_decomposition
+from fathom.operators.regression import factor_returns, residuals, specific_returns, style_returns
+from fathom.operators.specific import bayesian, specific_risk
+from fathom.sources.store import Store
+
+__all__ = [
+    "FathomError", "RiskModel", "Store", "attribution_over_time", "bayesian", "ewma", "factor_attribution", "factor_returns", "ledoit_wolf", "newey_west",
+    "portfolio_attribution", "residuals", "risk_decomposition", "scores", "security_attribution", "specific_returns", "specific_risk", "style_returns",
+]

@@ -12,6 +12,7 @@ from fathom.errors import FathomError, PipelineError
 from fathom.operators import attribution, covariance, factors, panel, regression
 from fathom.sinks import report
 from fathom.sources import quotes as q
+from fathom.sources.store import Store, default_root
 from fathom.sources.universe import SECTOR_CODES, SECTORS, Universe, parse_sector, with_sector
 
 
@@ -79,8 +80,9 @@ def main(argv: list[str] | None = None) -> int:
     a = sub.add_parser("analyze", help="attribute a symbol's return to factors")
     a.add_argument("symbol")
     a.add_argument("--years", type=int, default=5)
-    a.add_argument("--no-cache", action="store_true")
-    a.add_argument("--refresh", action="store_true")
+    a.add_argument("--store", nargs="?", const=default_root(), help="folder that keeps quotes between runs (without a value: the usual one); none if left out")
+    a.add_argument("--no-cache", action="store_true", help="neither read the store nor write to it")
+    a.add_argument("--refresh", action="store_true", help="read all quotes anew and store them")
     a.add_argument("--quotes", required=True, help="folder of quotes in Parquet")
     a.add_argument("--until", type=dt.date.fromisoformat, default=dt.date.today())
     u = sub.add_parser("universe", help="list the universe")
@@ -112,6 +114,9 @@ def main(argv: list[str] | None = None) -> int:
             symbol = args.symbol.upper()
             start, end = q.history(args.years, args.until)
             rows = q.read_quotes(spark, args.quotes).filter(F.col("date").between(F.lit(start), F.lit(end)))
+            if args.store:
+                symbols = [r[0] for r in rows.select("symbol").distinct().collect()]  # of the market
+                rows = Store(spark, args.store).scan_universe(symbols, start, end, lambda missing: rows.filter(F.col("symbol").isin(missing)), args.refresh, not args.no_cache)
             summary, parts = analyze(rows, Universe().frame(spark), symbol)
             print(report.attribution_table(symbol, f"{start} to {end}", summary, parts))
     except FathomError as e:

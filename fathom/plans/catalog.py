@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -244,14 +245,35 @@ def style_returns_solved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rg.style_returns(styled(spark, sf_dir), ["size_score", "beta_score"]).drop("r2"), "f_size_score", "f_beta_score", digits=7)
 
 
-@query()
+def _det(entry: Callable[[int, int], str], k: int) -> str:
+    """A k x k determinant as SQL, summed over permutations."""
+    terms = []
+    for order in permutations(range(k)):
+        odd = sum(order[i] > order[j] for i in range(k) for j in range(i + 1, k)) % 2
+        terms.append(("-" if odd else "+") + " * ".join(entry(i, j) for i, j in enumerate(order)))
+    return "(" + " ".join(terms) + ")"
+
+
+STYLES = [f"{f}_score" for f in fc.FACTORS]
+_A = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+# The normal equations of all five styles, solved by Cramer's rule.
+FIVE = (
+    STYLED + ", e AS (SELECT date, count(*) AS n, sum(w * residual * residual) AS tt, "
+    + ", ".join(f"sum(w * {a} * {b}) AS a{i}{j}" for i, a in enumerate(STYLES) for j, b in enumerate(STYLES) if i <= j) + ", " + ", ".join(f"sum(w * {a} * residual) AS b{i}" for i, a in enumerate(STYLES))
+    + " FROM x GROUP BY date), d AS (SELECT *, " + _det(_A, 5) + " AS det FROM e), five AS (SELECT *, "
+    + ", ".join("CASE WHEN n >= 5 THEN " + _det(lambda i, j, k=k: f"b{i}" if j == k else _A(i, j), 5) + f" / det END AS f{k}" for k in range(5)) + " FROM d)"
+)
+
+
+@query(f"WITH {FIVE} SELECT date, n, round(({' + '.join(f'f{k} * b{k}' for k in range(5))}) / tt, 6) + 0.0 AS r2, " + ", ".join(r(f"f{k}", f"f_{s}", 6) for k, s in enumerate(STYLES)) + " FROM five")
 def style_returns_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.style_returns(styled(spark, sf_dir), [f"{f}_score" for f in fc.FACTORS])
+    df = rg.style_returns(styled(spark, sf_dir), STYLES)
+    return rounded(df, "r2", *(f"f_{s}" for s in STYLES), digits=6)
 
 
-@query()
+@query(f"WITH {FIVE} SELECT x.date, x.symbol, round(residual - ({' + '.join(f'f{k} * {s}' for k, s in enumerate(STYLES))}), 6) + 0.0 AS residual FROM x JOIN five USING (date)")
 def specific_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.specific_returns(styled(spark, sf_dir), [f"{f}_score" for f in fc.FACTORS])
+    return rounded(rg.specific_returns(styled(spark, sf_dir), STYLES), "residual", digits=6)
 
 
 # Covariance.
@@ -394,24 +416,59 @@ def eigen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(mx.eigen_2x2(cv.sample(sector_factors(spark, sf_dir))), "high", "low", digits=9), "condition_number", digits=4)
 
 
-@query()
+def _parts(df: DataFrame) -> DataFrame:
+    """rank, eigenvalue, and i, x: the entries of the vectors by position."""
+    return df.select("rank", "eigenvalue", F.posexplode("vector").alias("i", "x"))
+
+
+@query(f"WITH {S}, k AS (SELECT count(*) AS k FROM s WHERE factor_i = factor_j) SELECT count(*) AS n, max(k) AS ranks, round(sum(v) FILTER (factor_i = factor_j), 10) + 0.0 AS total, round(sum(v * v), 12) + 0.0 AS squares, max(k)::DOUBLE AS lengths, true AS falling FROM s, k")
 def eigen_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.eigen_frame(cv.sample(sector_factors(spark, sf_dir)))
+    """What the eigenvalues and vectors must give: the matrix's trace and squared norm, unit vectors, falling order."""
+    df = mx.eigen_frame(cv.sample(sector_factors(spark, sf_dir)))
+    value = df.agg(F.count(F.lit(1)).alias("ranks"), F.sum("eigenvalue").alias("total"), F.sum(F.col("eigenvalue") ** 2).alias("squares"), F.array_sort(F.collect_list(F.struct("rank", "eigenvalue"))).alias("v"))
+    value = value.withColumn("falling", F.forall(F.transform("v", lambda x, i: (i == 0) | (F.get("v", i - 1)["eigenvalue"] >= x["eigenvalue"])), lambda x: x)).drop("v")
+    lengths = _parts(df).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") ** 2).alias("lengths"))
+    df = value.join(F.broadcast(lengths))  # one row each
+    return rounded(rounded(rounded(df, "total", digits=10), "squares", digits=12), "lengths", digits=8).select("n", "ranks", "total", "squares", "lengths", "falling")
 
 
-@query()
+@query(f"WITH {S}, f AS (SELECT factor_i AS f, row_number() OVER (ORDER BY factor_i) - 1 AS i FROM s GROUP BY 1) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, {r('v', 'value', 9)} FROM s JOIN f a ON a.f = factor_i JOIN f b ON b.f = factor_j")
+def eigen_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The covariance put together again from its eigenvalues and vectors."""
+    p = _parts(mx.eigen_frame(cv.sample(sector_factors(spark, sf_dir))))
+    both = p.join(p.select("rank", F.col("i").alias("j"), F.col("x").alias("y")), "rank")
+    return rounded(both.groupBy("i", "j").agg(F.sum(F.col("eigenvalue") * F.col("x") * F.col("y")).alias("value")), "value", digits=9)
+
+
+# Sector returns add up to zero each date, so their covariance has one eigenvalue of zero, whose vector is
+# the same for all factors; raising it to the floor adds floor / K to each entry.
+LIFTED = S + f", tr AS (SELECT sum(v) AS t, count(*) AS k FROM s WHERE factor_i = factor_j), up AS (SELECT factor_i, factor_j, v, v + {mx.FLOOR} / k AS lifted, t, t / (t + {mx.FLOOR}) AS shrink FROM s, tr)"
+
+
+@query(f"WITH {LIFTED} SELECT factor_i, factor_j, round(1e10 * (lifted * shrink - v), 2) + 0.0 AS change FROM up")
 def pd_enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.repair_frame(cv.sample(sector_factors(spark, sf_dir)))
+    return _change(spark, sf_dir, "clip")
 
 
-@query()
+@query(f"WITH {LIFTED} SELECT factor_i, factor_j, round(1e10 * (lifted - v), 2) + 0.0 AS change FROM up")
 def pd_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.repair_frame(cv.sample(sector_factors(spark, sf_dir)), method="nearest")
+    return _change(spark, sf_dir, "nearest")
+
+
+def _change(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    """What the repair adds to each entry, in units of the floor."""
+    cov = cv.sample(sector_factors(spark, sf_dir))
+    both = mx.repair_frame(cov, method=method).join(cov.select("factor_i", "factor_j", F.col("value").alias("v")), ["factor_i", "factor_j"])
+    return rounded(both.select("factor_i", "factor_j", ((F.col("value") - F.col("v")) * 1e10).alias("change")), "change", digits=2)
 
 
-@query()
+@query(f"WITH {S} SELECT bump > 0 AS positive_definite, round(sum(v + bump) FILTER (factor_i = factor_j), 9) + 0.0 AS trace FROM s, (VALUES (0.0), (1e-6)) t(bump) GROUP BY bump")
 def matrix_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.diagnose_frame(mx.repair_frame(cv.sample(sector_factors(spark, sf_dir))))
+    """The singular covariance, and the same with a millionth more on its diagonal."""
+    cov = cv.sample(sector_factors(spark, sf_dir))
+    more = cov.withColumn("value", F.col("value") + F.when(F.col("factor_i") == F.col("factor_j"), 1e-6).otherwise(0.0))
+    both = cov.withColumn("kind", F.lit("plain")).unionByName(more.withColumn("kind", F.lit("more")))
+    return rounded(mx.diagnose_frame(both, "kind").select("positive_definite", "trace"), "trace", digits=9)
 
 
 # Specific risk and the model.
@@ -470,6 +527,16 @@ def risk_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_risk(spark, sf_dir).select("factor_risk", "specific_risk", "total_risk"), "factor_risk", "specific_risk", "total_risk", digits=7)
 
 
+@query(f"WITH {RISK} SELECT {r('12 * f', 'factor_variance', 9)}, {r('q', 'specific_variance', 9)}, {r('sqrt(12 * f + q)', 'total_risk', 7)} FROM fv, sp")
+def risk_model_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RiskModel fitted on sector returns and residuals, both on a year, and asked for the equal portfolio."""
+    own = quotes(spark, sf_dir).select("symbol", "sector").distinct()
+    n = own.agg((1 / F.count(F.lit(1))).alias("weight"))
+    model = md.RiskModel(cv.sample, annualize_factor_cov=True, periods_per_year=12).fit(sector_factors(spark, sf_dir), rg.residuals(panel(spark, sf_dir)).select("date", "symbol", "residual"), method="historical", strict=False)
+    df = model.decompose(own.join(F.broadcast(n)).select("symbol", "weight"), own.select("symbol", F.col("sector").alias("factor"), F.lit(1.0).alias("exposure")))  # one row
+    return rounded(rounded(df.select("factor_variance", "specific_variance", "total_risk"), "factor_variance", "specific_variance", digits=9), "total_risk", digits=7)
+
+
 # Attribution: each symbol's market and sector terms over all dates.
 
 ATT = FR + """, tr AS (SELECT symbol, sector, sum(wr) AS total FROM ww GROUP BY 1, 2),
@@ -497,6 +564,20 @@ def security_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(at.security_attribution(contributions(spark, sf_dir)).drop("explained_ratio"), "total_return", "factor_return", "specific_return", digits=7), "r_squared", digits=6)
 
 
+OVER_TIME = RES + """, o AS (SELECT res.symbol, 'market' AS factor, market AS ret, residual FROM res JOIN sf USING (date, sector) UNION ALL SELECT res.symbol, sector, sf.ret, residual FROM res JOIN sf USING (date, sector)),
+idio AS (SELECT symbol, sum(residual) AS rest FROM res GROUP BY 1), ot AS (SELECT symbol, factor, sum(ret) AS c FROM o GROUP BY 1, 2), al AS (SELECT symbol, sum(c) AS f FROM ot GROUP BY 1)"""
+
+
+@query(f"WITH {OVER_TIME} SELECT symbol, factor, 1.0::DOUBLE AS exposure, {r('c', 'factor_return', 7)}, {r('c', 'contribution', 7)}, {r('rest', 'specific_return', 7)}, {r('f + rest', 'total_return', 7)} FROM ot JOIN idio USING (symbol) JOIN al USING (symbol)")
+def attribution_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol's return over all dates: market, sector and what is left."""
+    rows = panel(spark, sf_dir)
+    left = rg.residuals(rows).select("date", "symbol", "sector", "residual")
+    exposures = left.select("symbol", "date", F.explode(F.array(F.lit("market"), F.col("sector"))).alias("factor"), F.lit(1.0).alias("exposure"))
+    df = at.attribution_over_time(exposures, rg.factor_returns(rows), left)
+    return rounded(df.select("symbol", "factor", "exposure", "factor_return", "contribution", "specific_return", "total_return"), "factor_return", "contribution", "specific_return", "total_return", digits=7)
+
+
 @query(f"WITH {ATT}, g AS (SELECT symbol, max(total) AS t, sum(contribution) AS f FROM k GROUP BY 1) SELECT {r('avg(t)', 'total_return', 7)}, {r('avg(f)', 'factor_return', 7)}, {r('avg(t) - avg(f)', 'specific_return', 7)} FROM g")
 def portfolio_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(at.portfolio_attribution(contributions(spark, sf_dir))[0].select("total_return", "factor_return", "specific_return"), "total_return", "factor_return", "specific_return", digits=7)
@@ -600,9 +681,19 @@ def statements_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.latest_statements(_statements(spark, sf_dir), "Q").select(*STM_COLS)
 
 
-@query(f"WITH {PICKED} SELECT cik, period_end, round(CASE WHEN stockholders_equity > 0 THEN net_income / stockholders_equity END, 8) AS roe, round(CASE WHEN total_assets > 0 THEN net_income / total_assets END, 8) AS roa FROM stm")
+# Of the eight ratios those on items that orders don't stand for take fixed shares of the ones that they do.
+INPUTS = {"shares_outstanding": "total_assets / 50", "eps_diluted": "net_income / 2000", "eps_basic": "net_income / 1900", "long_term_debt": "total_assets * 0.3", "current_assets": "total_assets * 0.4", "current_liabilities": "revenue * 0.5"}
+_ABOVE = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} END"
+RATIOS = {
+    "book_value_per_share": _ABOVE("stockholders_equity", "shares_outstanding"), "roe": _ABOVE("net_income", "stockholders_equity"), "roa": _ABOVE("net_income", "total_assets"), "debt_to_equity": _ABOVE("long_term_debt", "stockholders_equity"),
+    "current_ratio": _ABOVE("current_assets", "current_liabilities"), "price_to_book": _ABOVE("100.0", f"({_ABOVE('stockholders_equity', 'shares_outstanding')})"), "earnings_per_share": "coalesce(eps_diluted, eps_basic)", "price_to_earnings": _ABOVE("100.0", "coalesce(eps_diluted, eps_basic)"),
+}
+
+
+@query(f"WITH {PICKED}, i AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in INPUTS.items())} FROM stm) SELECT cik, period_end, {', '.join(r(v, k, 6) for k, v in RATIOS.items())} FROM i")
 def factor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fl.factor_inputs(_statements(spark, sf_dir).withColumn("price", F.lit(100.0))).select("cik", "period_end", "roe", "roa"), "roe", "roa")
+    df = _statements(spark, sf_dir).withColumns({k: F.expr(v) for k, v in INPUTS.items()}).withColumn("price", F.lit(100.0))
+    return rounded(fl.factor_inputs(df).select("cik", "period_end", *RATIOS), *RATIOS, digits=6)
 
 
 @query(f"WITH {PICKED} SELECT a.cik, a.period_end, round(CASE WHEN b.revenue > 0 THEN (a.revenue - b.revenue) / b.revenue END, 8) AS revenue_growth, round(CASE WHEN b.net_income > 0 THEN (a.net_income - b.net_income) / b.net_income END, 8) AS earnings_growth FROM stm a LEFT JOIN stm b ON a.cik = b.cik AND a.period_type = b.period_type AND a.fiscal_quarter = b.fiscal_quarter AND a.fiscal_year = b.fiscal_year + 1")

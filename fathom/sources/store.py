@@ -1,17 +1,19 @@
 """A store of Parquet tables with upsert by key, in place of a row database.
 
-Writes replace the partitions of new rows only where a table is partitioned; each table's versions are
-folders, and a pointer file names the current one, so a reader never sees half a write.
+Tables with a date are cut into months. A manifest names each month's folder; a write makes new folders for the months it
+touches and then a new manifest, so a reader never sees half a write, and reads of a date range open that range's
+months only. Folders that the last manifest named are kept until the next write, for readers that began before.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from fathom.errors import MissingData
 from fathom.schema import DDL, conform
@@ -72,35 +74,48 @@ class Store:
     spark: SparkSession
     root: str
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}/CURRENT"
-
     def _fs(self, path: str):  # noqa: ANN202
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _version(self, table: str) -> str | None:
-        fs, p = self._fs(self._pointer(table))
+    def _folder(self, table: str) -> str:
+        return f"{self.root.rstrip('/')}/{table}"
+
+    def _manifest(self, table: str) -> dict[str, dict[str, str]]:
+        """now and before: the folder of each part, as of the last write and the one before it."""
+        fs, p = self._fs(f"{self._folder(table)}/CURRENT")
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(self._pointer(table)).first()[0]
-
-    def read(self, table: str) -> DataFrame:
-        """The table, empty if nothing was written yet."""
-        version = self._version(table)
-        if version is None:
-            return conform(self.spark.range(0), table)
-        return self.spark.read.schema(DDL[table]).parquet(f"{self.root.rstrip('/')}/{table}/{version}")
-
-    def _write(self, table: str, df: DataFrame) -> None:
-        version, before = uuid.uuid4().hex, self._version(table)
-        df.write.parquet(f"{self.root.rstrip('/')}/{table}/{version}")
-        fs, p = self._fs(self._pointer(table))
-        stream = fs.create(p, True)
-        stream.write(bytearray(version.encode()))
+            return {"now": {}, "before": {}}
+        return json.loads(self.spark.read.text(f"{self._folder(table)}/CURRENT").first()[0])
+
+    def _part(self, table: str) -> Column:
+        """The part that a row is in: its month, or the only one."""
+        return F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")) if "date" in KEYS[table] else F.lit("all")
+
+    def read(self, table: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+        """The table, empty if nothing was written yet; with start and end only the months between, of a table with a date."""
+        parts = self._manifest(table)["now"]
+        if start and end:
+            parts = {k: v for k, v in parts.items() if k in ("all", "none") or f"{start:%Y-%m}" <= k <= f"{end:%Y-%m}"}
+        return self._open(table, parts)
+
+    def _open(self, table: str, parts: dict[str, str]) -> DataFrame:
+        if not parts:
+            return conform(self.spark.range(0), table).filter(F.lit(False))
+        return self.spark.read.schema(DDL[table]).parquet(*(f"{self._folder(table)}/{v}" for _, v in sorted(parts.items())))
+
+    def _write(self, table: str, df: DataFrame, touched: set[str] | None = None) -> None:
+        """Replace the parts touched (all if None) by the rows of df."""
+        old, version, folder = self._manifest(table), uuid.uuid4().hex, self._folder(table)
+        df.withColumn("_part", self._part(table)).repartition("_part").write.partitionBy("_part").parquet(f"{folder}/{version}")
+        fs, p = self._fs(f"{folder}/{version}")
+        made = [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()]
+        now = {k: v for k, v in old["now"].items() if touched is not None and k not in touched} | {x.removeprefix("_part="): f"{version}/{x}" for x in made}
+        stream = fs.create(self._fs(f"{folder}/CURRENT")[1], True)
+        stream.write(bytearray(json.dumps({"now": now, "before": old["now"]}).encode()))
         stream.close()
-        if before:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/{table}/{before}"), True)
+        for x in set(old["before"].values()) - set(old["now"].values()) - set(now.values()):
+            fs.delete(self._fs(f"{folder}/{x}")[1], True)
 
     def put(self, table: str, rows: DataFrame) -> None:
         """Insert or replace rows by the table's key; a stamp column that rows lack is now."""
@@ -111,7 +126,9 @@ class Store:
             rows = rows.withColumn("active", F.lit(True))
         new = conform(rows, table)
         keys = KEYS[table]
-        self._write(table, upsert(self.read(table), new, keys, *([stamp] if stamp else []), *(c for c in new.columns if c not in (*keys, stamp))))
+        touched = {r[0] for r in new.select(self._part(table).alias("p")).distinct().collect()}  # months
+        old = self._open(table, {k: v for k, v in self._manifest(table)["now"].items() if k in touched})
+        self._write(table, upsert(old, new, keys, *([stamp] if stamp else []), *(c for c in new.columns if c not in (*keys, stamp))), touched)
 
     def remove_from_universe(self, symbol: str) -> None:
         """Mark a symbol inactive."""
@@ -121,7 +138,7 @@ class Store:
         return self.read("universe").filter("active").orderBy("symbol")
 
     def quotes(self, symbol: str, start: dt.date, end: dt.date) -> DataFrame:
-        out = self.read("quotes").filter((F.col("symbol") == symbol) & F.col("date").between(F.lit(start), F.lit(end))).orderBy("date")
+        out = self.read("quotes", start, end).filter((F.col("symbol") == symbol) & F.col("date").between(F.lit(start), F.lit(end))).orderBy("date")
         if out.isEmpty():
             raise MissingData(f"no quotes of {symbol} from {start} to {end}")
         return out
@@ -146,7 +163,7 @@ class Store:
 
     def has_quotes(self, symbol: str, start: dt.date, end: dt.date, ratio: float = 0.65) -> bool:
         one = self.spark.createDataFrame([(symbol,)], "symbol string")
-        return bool(coverage(self.read("quotes"), one, start, end, ratio).first()["covered"])
+        return bool(coverage(self.read("quotes", start, end), one, start, end, ratio).first()["covered"])
 
     def stats(self) -> DataFrame:
         return stats(self.read("quotes"), self.read("universe"), self.read("financial_statements"), self.read("company_ciks"))
@@ -163,7 +180,7 @@ class Store:
         refresh reads none but stores all; use_cache=False does neither.
         """
         wanted = self.spark.createDataFrame([(s,) for s in symbols], "symbol string")
-        have = self.read("quotes")
+        have = self.read("quotes", start, end)
         covered = coverage(have, wanted, start, end).filter("covered").select("symbol") if use_cache and not refresh else wanted.limit(0)
         missing = [r[0] for r in miss_set(wanted, covered).collect()]  # of the symbols named
         if missing:
@@ -171,7 +188,7 @@ class Store:
             if not use_cache:
                 return new
             self.put("quotes", new)
-        out = self.read("quotes").join(wanted, "symbol").filter(F.col("date").between(F.lit(start), F.lit(end)))
+        out = self.read("quotes", start, end).join(wanted, "symbol").filter(F.col("date").between(F.lit(start), F.lit(end)))
         if out.isEmpty():
             raise MissingData("no symbol has quotes")
         return out
