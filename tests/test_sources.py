@@ -64,6 +64,14 @@ def test_store(spark, tmp_path):
     assert asked[-1] == ["A"] and s.quotes("A", D0, D0).first()["close"] == 9.0
     s.scan_universe(["D"], D0, D0, fetch, use_cache=False)
     assert s.read("quotes").filter("symbol = 'D'").count() == 0
+    late = dt.date(D0.year + 1, 3, 1)
+    s.put("quotes", spark.createDataFrame([("E", late, 3.0, 7)], QUOTE))
+    before = s._manifest("quotes")
+    s.put("quotes", spark.createDataFrame([("E", late, 4.0, 7)], QUOTE))
+    after = s._manifest("quotes")
+    assert [k for k in after["now"] if after["now"][k] != before["now"].get(k)] == [f"{late:%Y-%m}"] and after["before"] == before["now"]
+    assert s.read("quotes", late, late).filter("close = 4").count() == s.read("quotes", late, late).count() == 1
+    assert s._open("quotes", after["before"]).filter("close = 3").count() == 1  # a reader of the version before still can
     s.clear("A")
     assert s.read("quotes").filter("symbol = 'A'").count() == 0 and s.read("quotes").count() > 0
     s.clear()
@@ -71,14 +79,14 @@ def test_store(spark, tmp_path):
 
 
 PAYLOAD = {
-    "cik": 320193, "entityName": "Example", "facts": {
+    "cik": 771204, "entityName": "Example", "facts": {
         "us-gaap": {
             "Revenues": {"label": "R", "units": {"USD": [
-                {"start": "2023-01-01", "end": "2023-12-31", "val": 400000, "fy": 2023, "fp": "FY", "form": "10-K"}, {"end": "2024-12-31", "val": 500000, "fy": 2024, "fp": "FY", "form": "10-K"}, {"end": "bad", "val": 1, "fy": 2020, "fp": "Q1", "form": "10-Q"}]}},
+                {"start": "2023-01-01", "end": "2023-12-31", "val": 740000, "fy": 2023, "fp": "FY", "form": "10-K"}, {"end": "2024-12-31", "val": 962000, "fy": 2024, "fp": "FY", "form": "10-K"}, {"end": "bad", "val": 1, "fy": 2020, "fp": "Q1", "form": "10-Q"}]}},
             "SalesRevenueNet": {"units": {"USD": [{"end": "2024-12-31", "val": 7, "fy": 2024, "fp": "FY", "form": "10-K"}]}},
-            "NetIncomeLoss": {"units": {"USD": [{"end": "2023-12-31", "val": 40000, "fy": 2023, "fp": "FY", "form": "10-K"}, {"end": "2024-12-31", "val": 50000, "fy": 2024, "fp": "FY", "form": "10-K"}]}},
-            "WeightedAverageNumberOfSharesOutstandingBasic": {"units": {"shares": [{"end": "2024-12-31", "val": 10000, "fy": 2024, "fp": "FY", "form": "10-K"}]}},
-            "StockholdersEquity": {"units": {"USD": [{"end": "2024-12-31", "val": 600000, "fy": 2024, "fp": "FY", "form": "10-K"}, {"end": "2024-12-31", "val": 600001, "fy": 2024, "fp": "FY", "form": "8-K"}]}},
+            "NetIncomeLoss": {"units": {"USD": [{"end": "2023-12-31", "val": 81000, "fy": 2023, "fp": "FY", "form": "10-K"}, {"end": "2024-12-31", "val": 97200, "fy": 2024, "fp": "FY", "form": "10-K"}]}},
+            "WeightedAverageNumberOfSharesOutstandingBasic": {"units": {"shares": [{"end": "2024-12-31", "val": 30500, "fy": 2024, "fp": "FY", "form": "10-K"}]}},
+            "StockholdersEquity": {"units": {"USD": [{"end": "2024-12-31", "val": 415000, "fy": 2024, "fp": "FY", "form": "10-K"}, {"end": "2024-12-31", "val": 415001, "fy": 2024, "fp": "FY", "form": "8-K"}]}},
         }, "dei": {"Other": {"units": {"pure": [{"end": "2024-03-31", "val": 1, "fy": 2024, "fp": "Q2", "form": "10-Q"}]}}}}}
 
 
@@ -88,21 +96,21 @@ def payload(spark, doc):
 
 def test_facts(spark):
     facts = fl.flatten_company_facts(payload(spark, PAYLOAD)).cache()
-    assert facts.count() == 9 and facts.first()["cik"] == "320193"
+    assert facts.count() == 9 and facts.first()["cik"] == "771204"
     with pytest.raises(Exception, match="(?i)date|parse"):
         fl.flatten_company_facts(payload(spark, PAYLOAD), strict=True).collect()
     r = fl.facts_of(facts, "us-gaap:Revenues").collect()
-    assert [x["value"] for x in r] == [500000, 400000]
+    assert [x["value"] for x in r] == [962000, 740000]
     d = facts.filter("period_start is not null").select(fl.duration_days().alias("d"), fl.is_instant().alias("i")).first()
     assert d["d"] == 364 and not d["i"]
     assert fl.facts_of(facts, "us-gaap:Revenues", fiscal_year=2023, form="10-K").count() == 1
-    assert fl.latest_facts(facts).filter("concept = 'us-gaap:Revenues'").first()["value"] == 500000
+    assert fl.latest_facts(facts).filter("concept = 'us-gaap:Revenues'").first()["value"] == 962000
     assert [x[0] for x in fl.concepts(facts).collect()][0] == "dei:Other"
     s = {x["fiscal_year"]: x for x in fl.statements(facts, fl.tag_dim(spark)).filter("period_type = 'A'").collect()}
-    assert s[2024]["revenue"] == 500000 and s[2024]["shares_outstanding"] == 10000 and s[2024]["stockholders_equity"] == 600000 and s[2024]["free_cash_flow"] is None and s[2023]["period_end"] == dt.date(2023, 12, 31)
+    assert s[2024]["revenue"] == 962000 and s[2024]["shares_outstanding"] == 30500 and s[2024]["stockholders_equity"] == 415000 and s[2024]["free_cash_flow"] is None and s[2023]["period_end"] == dt.date(2023, 12, 31)
     assert len(fl.CONCEPT_TAGS) == 18 and len(fl.CONCEPTS) == 23 and len(METRICS) == 18
     g = fl.growth_inputs(fl.statements(facts, fl.tag_dim(spark))).filter("fiscal_year = 2024 and period_type = 'A'").first()
-    assert (g["revenue_growth"], g["earnings_growth"]) == pytest.approx((0.25, 0.25))
+    assert (g["revenue_growth"], g["earnings_growth"]) == pytest.approx((0.3, 0.2))
     assert fl.latest_statements(fl.statements(facts, fl.tag_dim(spark)), "A").first()["fiscal_year"] == 2024
     one = {"cik": "1", "taxonomy": "us-gaap", "tag": "Assets", "units": {"USD": [{"end": "2024-03-31", "val": 2}]}}
     assert fl.flatten_company_concept(payload(spark, one)).first()["concept"] == "us-gaap:Assets"
@@ -111,10 +119,12 @@ def test_facts(spark):
 
 
 def test_ratios(spark):
-    values = {"stockholders_equity": 600e3, "shares_outstanding": 10e3, "net_income": 50e3, "total_assets": 1e6, "long_term_debt": 200e3, "current_assets": 300e3, "current_liabilities": 100e3, "eps_diluted": 4.8, "eps_basic": None, "price": 100.0}
-    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} double" for k in values))
+    v = {"stockholders_equity": 415e3, "shares_outstanding": 30500.0, "net_income": 97200.0, "total_assets": 2.2e6, "long_term_debt": 130e3, "current_assets": 510e3, "current_liabilities": 204e3, "eps_diluted": 3.1, "eps_basic": None, "price": 62.0}
+    df = spark.createDataFrame([tuple(v.values())], ", ".join(f"{k} double" for k in v))
     r = fl.factor_inputs(df).first()
-    assert (r["book_value_per_share"], r["roe"], r["roa"], r["debt_to_equity"], r["current_ratio"], r["price_to_book"], r["price_to_earnings"]) == pytest.approx((60, 0.08333333, 0.05, 0.33333333, 3, 1.6666667, 20.8333333))
+    book = v["stockholders_equity"] / v["shares_outstanding"]
+    want = (book, v["net_income"] / v["stockholders_equity"], v["net_income"] / v["total_assets"], v["long_term_debt"] / v["stockholders_equity"], v["current_assets"] / v["current_liabilities"], v["price"] / book, v["price"] / v["eps_diluted"])
+    assert (r["book_value_per_share"], r["roe"], r["roa"], r["debt_to_equity"], r["current_ratio"], r["price_to_book"], r["price_to_earnings"]) == pytest.approx(want)
     loss = fl.factor_inputs(df.withColumn("eps_diluted", F.lit(-1.0)), nan=True).first()
     assert np.isnan(loss["price_to_earnings"]) and fl.factor_inputs(df.withColumn("eps_diluted", F.lit(-1.0))).first()["price_to_earnings"] is None
     forms = spark.createDataFrame([("10-Q",), ("10-K",), ("8-K",)], "f string").select(fl.period_type(F.col("f"))).collect()
@@ -122,12 +132,12 @@ def test_ratios(spark):
 
 
 def test_filings_and_ciks(spark):
-    doc = {"cik": "320193", "name": "x", "filings": {"recent": {"accessionNumber": ["1-1", "1-2", "1-3"], "form": ["10-Q", "10-K", "10-Q"], "filingDate": ["bad", "2024-02-01", "2023-05-01"], "primaryDocument": ["a", "b", "c"], "reportDate": [None, "2023-12-31", None]}}}
+    doc = {"cik": "771204", "name": "x", "filings": {"recent": {"accessionNumber": ["1-1", "1-2", "1-3"], "form": ["10-Q", "10-K", "10-Q"], "filingDate": ["bad", "2024-02-01", "2023-05-01"], "primaryDocument": ["a", "b", "c"], "reportDate": [None, "2023-12-31", None]}}}
     rows = fl.filings(payload(spark, doc)).cache()
     assert fl.latest_filing(rows, "10-Q").count() == 0 and fl.latest_filing(rows, "10-K").first()["document"] == "b" and [r["accession"] for r in fl.filings_by_form(rows, "10-Q").collect()] == ["1-3"]
-    assert rows.filter("pos = 1").select(fl.document_url(F.col("cik"), F.col("accession"), F.col("document"))).first()[0].endswith("/320193/12/b")
-    ciks = fl.ticker_ciks(spark, payload(spark, {"0": {"cik_str": 320193, "ticker": "aapl", "title": "Apple"}}))
-    assert fl.lookup_cik(ciks, "AApl").first()["cik"] == "0000320193"
+    assert rows.filter("pos = 1").select(fl.document_url(F.col("cik"), F.col("accession"), F.col("document"))).first()[0].endswith("/771204/12/b")
+    ciks = fl.ticker_ciks(spark, payload(spark, {"0": {"cik_str": 771204, "ticker": "aapl", "title": "Apple"}}))
+    assert fl.lookup_cik(ciks, "AApl").first()["cik"] == "0000771204"
     assert fl.fundamentals_frame(spark, [{"symbol": "A", "market_cap": 1.0}]).first()["market_cap"] == 1.0
     with pytest.raises(errors.ParseError):
         fl.fundamentals_frame(spark, [])
