@@ -2,7 +2,7 @@
 
 Each rule's regular expression runs only on URLs that hold the token it is filed under, the one of
 its literal tokens that the fewest URLs hold. A rule list is a parameter of the job; it reaches the
-tasks in their closure and its size is checked.
+tasks in their closure, a part of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import table
+from fathom.llm._common import stage, table
 
-#: Rules beyond this many characters in total are refused: they are shipped to every task.
-MAX_RULE_CHARS = 32_000_000
+#: Characters of rules that are shipped to the tasks at a time; a longer list is run part by part over a written table of the verdicts so far.
+RULE_CHARS = 32_000_000
 TOKEN = re.compile(r"[a-z0-9]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -73,7 +73,9 @@ def token_counts(pages: DataFrame, rules: Iterable[Rule]) -> dict[str, int]:
     if not wanted:
         return {}
     found = F.array_distinct(F.regexp_extract_all(F.translate(F.col("url"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), 0))
-    rows = pages.select(F.explode(found).alias("t")).filter(F.col("t").isin(wanted)).groupBy("t").count().collect()
+    side = pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string")
+    side = F.broadcast(side) if sum(map(len, wanted)) <= RULE_CHARS else side
+    rows = pages.select(F.explode(found).alias("t")).join(side, "t", "left_semi").groupBy("t").count().collect()
     return {r["t"]: r["count"] for r in rows}
 
 
@@ -89,38 +91,77 @@ def index_rules(rules: Iterable[Rule], counts: dict[str, int]) -> tuple[dict[str
     return by_token, always
 
 
-def judge(pages: DataFrame, domain_rules: tuple[Rule, ...] = DOMAIN_RULES, pattern_rules: tuple[Rule, ...] = PATTERN_RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, pattern_rule, n_candidates for every row of pages; no shuffle of pages.
+def rule_parts(rules: list[Rule], most: int) -> list[list[Rule]]:
+    """rules in their order, cut into parts of at most `most` characters of patterns (a longer pattern is a part of its own)."""
+    parts: list[list[Rule]] = [[]]
+    held = 0
+    for r in rules:
+        if parts[-1] and held + len(r.pattern) > most:
+            parts.append([])
+            held = 0
+        parts[-1].append(r)
+        held += len(r.pattern)
+    return parts
 
-    The longest fitting domain rule wins, ties by name. Without one, the first fitting pattern rule
-    decides and rule stays null; without any, allow. A null url, or one without '://', has an empty host and path and
-    is allowed unless a pattern fits. Repeated rows are judged each; an empty table gives no rows;
-    further columns are ignored.
-    """
-    rules = [*domain_rules, *pattern_rules]
-    if sum(len(r.pattern) for r in rules) > MAX_RULE_CHARS:
-        raise ValueError("the rules are too large to ship to every task; split them by host")
-    by_token, always = index_rules(rules, token_counts(pages, rules))
+
+#: What the parts of the rules have found so far: the best domain rule, the first pattern rule, and their verdicts.
+FOUND = ("rule", "rule_verdict", "pattern_rule", "pattern_verdict")
+
+
+def _judge_part(found: DataFrame, rules: list[Rule], counts: dict[str, int]) -> DataFrame:
+    by_token, always = index_rules(rules, counts)
     plain = [(r.name, r.verdict, r.pattern, r.domain) for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(p) for _, _, p, _ in plain]
+        compiled: dict[int, re.Pattern] = {}
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("host", "path", "rule", "verdict", "pattern_rule", "n_candidates")}
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
+            out: dict[str, list] = {k: [] for k in (*FOUND, "n_candidates")}
+            for host, path, rule, rule_verdict, pattern_rule, pattern_verdict, n in zip(*(batch.column(k).to_pylist() for k in ("host", "path", *FOUND, "n_candidates")), strict=True):
                 whole = host + path
                 ids = sorted({i for t in set(TOKEN.findall(whole.translate(ASCII_LOWER))) for i in by_token.get(t, ())} | set(always))
-                hits = [i for i in ids if compiled[i].search(whole)]
-                best = min((i for i in hits if plain[i][3]), key=lambda i: (-len(plain[i][0]), plain[i][0]), default=None)
-                other = next((i for i in hits if not plain[i][3]), None)
-                chosen = best if best is not None else other
-                for k, v in (("host", host), ("path", path), ("rule", None if best is None else plain[best][0]), ("verdict", "allow" if chosen is None else plain[chosen][1]), ("pattern_rule", None if other is None else plain[other][0]), ("n_candidates", len(ids))):
+                for i in ids:
+                    name, verdict, pattern, domain = plain[i]
+                    if i not in compiled:
+                        compiled[i] = re.compile(pattern)
+                    if not compiled[i].search(whole):
+                        continue
+                    if domain and (rule is None or (-len(name), name) < (-len(rule), rule)):
+                        rule, rule_verdict = name, verdict
+                    if not domain and pattern_rule is None:
+                        pattern_rule, pattern_verdict = name, verdict
+                for k, v in zip(out, (rule, rule_verdict, pattern_rule, pattern_verdict, n + len(ids)), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(v, pa.int64() if k == "n_candidates" else pa.string()) for k, v in out.items())], names=["page_id", *out])
+            columns = [*(batch.column(k) for k in ("page_id", "host", "path")), *(pa.array(out[k], pa.string()) for k in FOUND), pa.array(out["n_candidates"], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", *out])
+
+    return found.mapInArrow(run, found.schema)
 
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [split_url(u) for u in batch.column("url").to_pylist()]
+        none = pa.nulls(len(parts), pa.string())
+        columns = [batch.column("page_id"), *(pa.array([p[k] for p in parts], pa.string()) for k in (0, 1)), *(none for _ in FOUND), pa.array([0] * len(parts), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", *FOUND, "n_candidates"])
+
+
+def judge(pages: DataFrame, domain_rules: tuple[Rule, ...] = DOMAIN_RULES, pattern_rules: tuple[Rule, ...] = PATTERN_RULES, rule_chars: int = RULE_CHARS) -> DataFrame:
+    """page_id, host, path, rule, verdict, pattern_rule, n_candidates for every row of pages; no shuffle of pages.
+
+    The longest fitting domain rule wins, ties by name. Without one, the first fitting pattern rule
+    decides and rule stays null; without any, allow. A null url, or one without '://', has an empty host and path and
+    is allowed unless a pattern fits; a url of any length is judged whole. Repeated rows are judged each; an empty table
+    gives no rows; further columns are ignored. Rules of more than rule_chars characters run part by part.
+    """
+    rules = [*domain_rules, *pattern_rules]
+    counts = token_counts(pages, rules)
     kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", F.col("url").cast("string")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, pattern_rule string, n_candidates long")
+    columns = ", ".join(f"{k} string" for k in ("host", "path", *FOUND))
+    found = pages.select("page_id", F.col("url").cast("string")).mapInArrow(_split, f"page_id {kind}, {columns}, n_candidates long")
+    for i, part in enumerate(rule_parts(rules, rule_chars)):
+        found = _judge_part(found if i == 0 else stage(found, "judged"), part, counts)
+    verdict = F.coalesce(F.when(F.col("rule").isNotNull(), F.col("rule_verdict")), F.col("pattern_verdict"), F.lit("allow"))
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "pattern_rule", "n_candidates")
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

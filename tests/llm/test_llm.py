@@ -629,6 +629,14 @@ def test_urls(spark):
             assert r["verdict"] == ("allow" if r["rule"] in ("org/", "com/fr/") else "block")
     by = {r["page_id"]: r for r in got}
     assert by[15]["verdict"] == by[16]["verdict"] == "block" and by[18]["verdict"] == "allow" and by[9]["verdict"] == "allow"
+    assert rows_of(url_filter.judge(df, rule_chars=60)) == rows_of(url_filter.judge(df))
+
+
+def test_rules_are_cut_into_parts():
+    rules = [*url_filter.DOMAIN_RULES, *url_filter.PATTERN_RULES]
+    parts = url_filter.rule_parts(rules, 60)
+    assert len(parts) > 3 and [r for p in parts for r in p] == rules
+    assert all(len(p) == 1 or sum(len(r.pattern) for r in p) <= 60 for p in parts)
 
 
 def test_rules_are_filed_under_the_rarest_token():
