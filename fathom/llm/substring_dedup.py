@@ -9,8 +9,10 @@
    length of every position with its neighbours before and after in suffix order, as within a run each is one
    less than at the position before. Windows that match SPAN bytes, and all those of segments that
    occur more than once, are repeated.
-3. Grams with more distinct segments than a block holds (text that borders a very common passage) are
-   counted by the hash of each window, combined before the shuffle.
+3. A gram with more distinct segments than MOST_SEGMENTS (text that borders a very common passage) is lengthened:
+   of the bytes that its windows have around it, at least half lie to one side, and the gram grows by that many there.
+   Each segment falls into at most two, equal ones are again one with a count, and each longer gram is indexed or
+   lengthened as before. After eight times at most a gram is a whole window and has one segment.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import stage, table
+from fathom.llm._common import join_counted, stage, table
 
 SPAN = 200
 K = 64
 #: Bytes that are hashed, and indexed, at a time.
 CHUNK, BLOCK = 1 << 19, 1 << 20
-#: Distinct segments of a gram that are indexed in one block; beyond, windows are counted by hash.
-MOST_SEGMENTS = 8192
+#: Distinct segments of a gram that are indexed in one block; a gram with more is lengthened.
+MOST_SEGMENTS = 1024
 #: A position and a length share a long with bits that tell apart documents whose 64-bit key is the same.
 POS_SHIFT, TAG_SHIFT = 9, 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +130,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by g, those whose gram occurs twice or more."""
+    """Of rows sorted by g, those whose gram occurs twice or more. Of the last gram at most a batch and one row are held."""
     names = ("n", "h", "sh", "dk", "pos")
     held = None
     for batch in batches:
@@ -137,11 +139,11 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if known.any():
             yield pa.RecordBatch.from_arrays([pa.array(new[k][known]) for k in names[1:]], names=list(names[1:]))
         rows = {k: np.concatenate((held[k], v[~known])) if held else v[~known] for k, v in new.items()}
-        cut = int(np.searchsorted(rows["h"], rows["h"][-1])) if len(rows["h"]) else 0
-        yield from _repeated({k: v[:cut] for k, v in rows.items()})
-        held = {k: v[cut:] for k, v in rows.items()}
-    if held:
-        yield from _repeated(held)
+        if len(rows["h"]):
+            yield from _repeated(rows)
+            last = rows["n"][rows["h"] == rows["h"][-1]]
+            # Of a gram already found twice only a mark goes on; of one found once, its row.
+            held = {k: v[-1:] if k != "n" or len(last) == 1 else np.array([2], v.dtype) for k, v in rows.items()}
 
 
 def _repeated(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def _spans(starts: np.ndarray) -> bytes:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, sh, n, bytes) sorted by h to (h, sh, spans): whole grams, a block of about BLOCK bytes at a time."""
+    """(h, sh, n, bytes) sorted by h to (h, sh, n, spans): whole grams, a block of about BLOCK bytes at a time."""
     rows: list[tuple] = []
     held, block_end = 0, 0
     for batch in batches:
@@ -246,32 +248,75 @@ def _index_block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         windows = len(text) - SPAN + 1
         where = np.arange(windows) if n > 1 else np.flatnonzero(length[at : at + windows] >= SPAN)
         if len(where):
-            out.append((h, sh, _spans(where)))
+            out.append((h, sh, n, _spans(where)))
     if out:
-        h, sh, spans = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(spans, pa.binary())], names=["h", "sh", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "sh", "n", "spans"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, sh, size) to (h, sh, spans) of the whole segment."""
+    """(h, sh, n, size) to (h, sh, n, spans) of the whole segment."""
     for batch in batches:
         size = batch.column("size").to_numpy()
         spans = [x.tobytes() for x in np.stack((np.zeros_like(size), size), 1).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("sh"), pa.array(spans, pa.binary())], names=["h", "sh", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("h", "sh", "n")), pa.array(spans, pa.binary())], names=["h", "sh", "n", "spans"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, sh, n, bytes) to (h, sh, n, at, w): each window's place and hash."""
-    digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
-        for h, sh, n, text in zip(*(batch.column(k).to_pylist() for k in ("h", "sh", "n", "bytes")), strict=True):
-            w = np.array([digest(text[i : i + SPAN]) for i in range(len(text) - SPAN + 1)], np.uint64).view(np.int64)
-            full = [pa.array(np.full(len(w), x, np.int64)) for x in (h, sh, n)]
-            yield pa.RecordBatch.from_arrays([*full, pa.array(np.arange(len(w))), pa.array(w)], names=["h", "sh", "n", "at", "w"])
+def _lengthen(segs: DataFrame, wide: int, more: int) -> DataFrame:
+    """h, sh, n, at, h2, sh2, lo2, bytes: the parts of segments under grams of wide + more bytes, each from `at` on.
+
+    The windows of a segment hold the `wide` bytes from lo on (null: its anchor). Those with `more` bytes or
+    further before them take these into the gram, the others have as many behind them and take those. Equal windows
+    have the same bytes on each side, so they go the same way and meet again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, digest, low = _byte_codes(), xxhash.xxh3_64_intdigest, np.uint64((1 << 24) - 1)
+        for batch in batches:
+            out: list[tuple] = []
+            for h, sh, n, lo, text in zip(*(batch.column(k).to_pylist() for k in ("h", "sh", "n", "lo", "bytes")), strict=True):
+                if lo is None:
+                    lo = int(np.argmin(gram_hashes(np.frombuffer(text[:SPAN], np.uint8), codes)[: SPAN - K + 1] & ~low))
+                windows = len(text) - SPAN + 1
+                cut = min(windows, max(0, lo - more + 1))
+                for side, a, b, known in ((b"l", 0, cut, lo - more), (b"r", cut, windows, lo)):
+                    if a < b:
+                        part = text[a : b - 1 + SPAN]
+                        out.append((h, sh, n, a, digest(side + text[known : known + wide + more]), digest(part), known - a, part))
+            if out:
+                h, sh, n, at, h2, sh2, lo2, part = zip(*out, strict=True)
+                signed = (np.array(x, np.uint64).view(np.int64) for x in (h2, sh2))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, sh, n, at)), *(pa.array(x) for x in signed), pa.array(lo2, pa.int64()), pa.array(part, pa.binary())], names=["h", "sh", "n", "at", "h2", "sh2", "lo2", "bytes"])
+
+    return segs.select("h", "sh", "n", "lo", "bytes").mapInArrow(run, "h long, sh long, n long, at long, h2 long, sh2 long, lo2 long, bytes binary")
+
+
+def with_kinds(distinct: DataFrame) -> DataFrame:
+    """distinct (h, sh, ..; a written table) with kinds: how many rows its h has."""
+    kinds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    return join_counted(distinct, stage(kinds.withColumn("_fx_n", F.col("kinds")), "kinds"), ["h"], "_fx_n", distinct.count())
+
+
+def indexed(segs: DataFrame, wide: int = K) -> DataFrame:
+    """h, sh, n, at, spans of segs (h, sh, n, kinds, lo, bytes; a written table), whose spans count from `at` in the segment."""
+    more = -(-(SPAN - wide) // 2)
+    few = F.col("kinds") <= MOST_SEGMENTS if more else F.lit(True)
+    found = segs.filter(few).select("h", "sh", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, sh long, n long, spans binary")
+    found = found.withColumn("at", F.lit(0).cast("long"))
+    if (hot := segs.filter(~few)).isEmpty():
+        return found
+    parts = stage(_lengthen(hot, wide, more), "parts")
+    one = parts.groupBy(F.col("h2").alias("h"), F.col("sh2").alias("sh")).agg(F.sum("n").alias("n"), F.any_value("lo2").alias("lo"), F.any_value("bytes").alias("bytes"))
+    one = stage(with_kinds(stage(one, "distinct-parts")), "counted-parts")
+    alone = one.filter("kinds = 1 and n > 1").select("h", "sh", "n", F.length("bytes").cast("long").alias("size")).mapInArrow(_whole, "h long, sh long, n long, spans binary")
+    deeper = stage(indexed(one.filter("kinds > 1"), wide + more).unionByName(alone.withColumn("at", F.lit(0).cast("long"))), "part-spans")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    side = deeper.select(F.col("h").alias("h2"), F.col("sh").alias("sh2"), F.col("n").alias("_fx_n"), F.col("at").alias("from"), "spans")
+    back = join_counted(parts.select("h", "sh", "n", "at", "h2", "sh2"), side, ["h2", "sh2"], "_fx_n", total)
+    return found.unionByName(back.select("h", "sh", "n", (F.col("at") + F.col("from")).alias("at"), "spans"))
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the segments wanted of them to (h, sh, n, hot, bytes)."""
+    """Documents with the segments wanted of them to (h, sh, n, kinds, bytes)."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
@@ -279,9 +324,9 @@ def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             text = unpack.decompress(z)
             for s in wanted:
                 at, size = (s["pos"] & ((1 << TAG_SHIFT) - 1)) >> POS_SHIFT, s["pos"] & ((1 << POS_SHIFT) - 1)
-                out.append((s["h"], s["sh"], s["n"], s["hot"], text[at : at + size]))
+                out.append((s["h"], s["sh"], s["n"], s["kinds"], text[at : at + size]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h", "sh", "n", "hot", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "sh", "n", "kinds", "bytes"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,38 +374,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     live = stage(live, "live-segments")
     one = F.min(F.struct("dk", "pos")).alias("one")
     distinct = stage(live.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("n"), one), "distinct-segments")
-    of_gram = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    distinct = distinct.join(of_gram, "h")
+    distinct = with_kinds(distinct)
     # Of a gram with one segment all windows repeat if it occurs more than once, and none if not (a batch or a cut document showed it twice).
-    alone = distinct.filter("kinds = 1 and n > 1").select("h", "sh", F.col("one.pos").bitwiseAND(F.lit((1 << POS_SHIFT) - 1)).alias("size")).mapInArrow(_whole, "h long, sh long, spans binary")
-    wanted = distinct.filter("kinds > 1").select("one.dk", F.shiftrightunsigned("one.pos", TAG_SHIFT).alias("tag"), F.struct("h", "sh", "n", F.col("one.pos").alias("pos"), (F.col("kinds") > MOST_SEGMENTS).alias("hot")).alias("s"))
+    alone = distinct.filter("kinds = 1 and n > 1").select("h", "sh", "n", F.col("one.pos").bitwiseAND(F.lit((1 << POS_SHIFT) - 1)).alias("size")).mapInArrow(_whole, "h long, sh long, n long, spans binary")
+    wanted = distinct.filter("kinds > 1").select("one.dk", F.shiftrightunsigned("one.pos", TAG_SHIFT).alias("tag"), F.struct("h", "sh", "n", F.col("one.pos").alias("pos"), "kinds").alias("s"))
     wanted = wanted.groupBy("dk", "tag").agg(F.collect_list("s").alias("wanted"))
     kind = dict(docs.dtypes)["doc_id"]
     packed = keyed.mapInArrow(_compress, f"doc_id {kind}, dk long, tag long, z binary").repartition("dk", "tag")
-    cut = packed.join(wanted, ["dk", "tag"]).dropDuplicates(["dk", "tag"]).select("z", "wanted").mapInArrow(_cut_segments, "h long, sh long, n long, hot boolean, bytes binary")
-    cut = stage(cut, "segments")
-    spans = alone.union(cut.filter("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_index, "h long, sh long, spans binary"))
-    if not (hot := cut.filter("hot").drop("hot")).isEmpty():
-        spans = spans.union(_hot_spans(hot))
-    spans = stage(spans, "spans")
-    at = F.shiftrightunsigned(F.col("pos").bitwiseAND(F.lit((1 << TAG_SHIFT) - 1)), POS_SHIFT)
-    found = live.join(spans, ["h", "sh"]).select("dk", F.shiftrightunsigned("pos", TAG_SHIFT).alias("tag"), F.struct(at.alias("at"), "spans").alias("f"))
+    cut = packed.join(wanted, ["dk", "tag"]).dropDuplicates(["dk", "tag"]).select("z", "wanted").mapInArrow(_cut_segments, "h long, sh long, n long, kinds long, bytes binary")
+    cut = stage(cut.withColumn("lo", F.lit(None).cast("long")), "segments")
+    spans = stage(indexed(cut).unionByName(alone.withColumn("at", F.lit(0).cast("long"))), "spans")
+    start = F.shiftrightunsigned(F.col("pos").bitwiseAND(F.lit((1 << TAG_SHIFT) - 1)), POS_SHIFT)
+    of_spans = spans.select("h", "sh", F.col("n").alias("_fx_n"), "at", "spans")
+    found = join_counted(live, of_spans, ["h", "sh"], "_fx_n", live.count()).select("dk", F.shiftrightunsigned("pos", TAG_SHIFT).alias("tag"), F.struct((start + F.col("at")).alias("at"), "spans").alias("f"))
     found = found.groupBy("dk", "tag").agg(F.collect_set("f").alias("found"))
     done = packed.join(found, ["dk", "tag"], "left").select("doc_id", "z", "found")
     return done.mapInArrow(_remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>")
 
 
-def _hot_spans(hot: DataFrame) -> DataFrame:
-    windows = stage(hot.mapInArrow(_windows, "h long, sh long, n long, at long, w long"), "hot-windows")
-    twice = windows.groupBy("h", "w").agg(F.sum("n").alias("times")).filter("times > 1").select("h", "w")
-    found = windows.join(twice, ["h", "w"]).groupBy("h", "sh").agg(F.array_sort(F.collect_set("at")).alias("at"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("sh"), pa.array([_spans(np.array(a, np.int64)) for a in batch.column("at").to_pylist()], pa.binary())], names=["h", "sh", "spans"])
-
-    return found.mapInArrow(run, "h long, sh long, spans binary")
-
-
 def op1_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")

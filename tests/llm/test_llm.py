@@ -58,6 +58,18 @@ def test_substring_dedup(docs, monkeypatch, most):
     assert rows_of(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
 
 
+@pytest.mark.parametrize("most", [3, 1024])
+def test_segments_that_border_a_common_passage(spark, monkeypatch, most):
+    """Every text has its own words on both sides of one passage; some share more of them, to the byte."""
+    monkeypatch.setattr(substring_dedup, "MOST_SEGMENTS", most)
+    passage, before, after = prose(1, 40)[:150], prose(2, 80)[-180:], prose(3, 80)[:180]
+    texts = [prose(10 + i, 30) + before[len(before) - 9 * i :] + passage + after[: 180 - 12 * i] + prose(40 + i, 30) for i in range(14)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_spans(texts, 200)
+    assert any(r[1] for r in want)
+    assert rows_of(substring_dedup.repeated_spans(df).select("n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(want, key=repr)
+
+
 def test_match_lengths():
     texts = [b"abracadabra", b"cadabra", b"aaaa", b"", b"\x00\xff\x00\xff"]
     got, start = substring_dedup.match_lengths(texts)
