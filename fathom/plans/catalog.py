@@ -7,7 +7,6 @@ sectors, orders for filing facts. Values are rounded alike on both sides, as sum
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from itertools import permutations
 
@@ -98,6 +97,12 @@ def quotes_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("symbol", "date", F.round(F.col("close") * F.col("volume"), 2).alias("turnover"))
 
 
+@query(f"WITH {Q} SELECT symbol FROM (VALUES ('1'), ('2'), ('absent'), ('3'), ('gone')) AS t (symbol) WHERE symbol NOT IN (SELECT symbol FROM quotes WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31')")
+def quotes_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols that a batch scan skips."""
+    return qt.scan_available(quotes(spark, sf_dir), ["1", "2", "absent", "3", "gone"], dt.date(1997, 1, 1), dt.date(1998, 12, 31))[1]
+
+
 @query(f"WITH {P} SELECT symbol, date, {r('ret', 'asset_returns')} FROM rr")
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pn.compute_returns(quotes(spark, sf_dir)).select("symbol", "date", "asset_returns"), "asset_returns")
@@ -800,14 +805,12 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL["event_windows"])
 def event_windows_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same windows by a stream over the events' files, run until all are read."""
-    from fathom.streaming.ewma import event_counts
+    from fathom.streaming.ewma import event_counts, last_result
 
-    name = f"event_windows_{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     # As a pattern, since a stream's base folder can't be a file.
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet")
-    event_counts(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.table(name), "total", digits=6).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return rounded(last_result(event_counts(rows)), "total", digits=6).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

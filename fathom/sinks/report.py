@@ -43,6 +43,39 @@ def markdown_table(title: str, period: str, head: Sequence[str], rows: Sequence[
     return "\n".join([f"# {title}", "", f"**Period:** {period}", "", row(head), row(["---"] * len(head)), *map(row, rows), "", "## Summary", "", *(f"- **{k}:** {v}" for k, v in foot), ""])
 
 
+#: Lines of the text form.
+FACTOR_LINE = "{factor}: {contribution:.2%} (exposure: {exposure:.3f}, return: {factor_return:.2%})"
+RISK_LINE = "{factor}: {contribution_pct:.2f}% of risk (exposure: {exposure:.3f}, volatility: {volatility:.2%})"
+RETURN_LINES = ("Total Return: {total_return:.2%}", "Factor Return: {factor_return:.2%}", "Specific Return: {specific_return:.2%}", "R-squared: {r_squared:.4f}")
+RISK_LINES = ("Total Risk: {total_risk:.2%}", "Factor Risk: {factor_risk:.2%}", "Specific Risk: {specific_risk:.2%}", "95% VaR: {var_95:.2%}", "99% VaR: {var_99:.2%}")
+
+
+def factor_lines(factors: DataFrame) -> list[str]:
+    """One line a factor, in the order of factors: of an attribution, or of a risk summary where there are volatilities."""
+    form = RISK_LINE if "volatility" in factors.columns else FACTOR_LINE
+    return [form.format(**r.asDict()) for r in factors.collect()]
+
+
+def _text(head: str, lines: Sequence[str], summary: DataFrame, *more: str) -> str:
+    values = summary.first().asDict()
+    return "\n".join([head, *("  " + x.format(**values) for x in lines), *("  " + x for x in more), ""])
+
+
+def security_text(symbol: str, period: str, summary: DataFrame, factors: DataFrame) -> str:
+    """A security's attribution as text, a line for each total and each factor."""
+    return _text(f"Attribution for {symbol} ({period}):", RETURN_LINES, summary, "Factors:", *("  " + x for x in factor_lines(factors)))
+
+
+def portfolio_text(name: str, period: str, summary: DataFrame, securities: int) -> str:
+    """A portfolio's attribution as text, a line for each total."""
+    return _text(f"Portfolio Attribution: {name} ({period})", RETURN_LINES, summary, f"Securities: {securities}")
+
+
+def risk_text(name: str, period: str, summary: DataFrame) -> str:
+    """A risk summary as text."""
+    return _text(f"Risk Summary: {name} ({period})", RISK_LINES, summary)
+
+
 def attribution_table(name: str, period: str, summary: DataFrame, factors: DataFrame, markdown: bool = False) -> str:
     """The table of an attribution: one row a factor, then the totals."""
     s = summary.first()

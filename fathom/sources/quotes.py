@@ -41,6 +41,14 @@ def scan_quotes(quotes: DataFrame, symbols: Iterable[str] | str, start: dt.date,
     return out
 
 
+def scan_available(quotes: DataFrame, symbols: Iterable[str], start: dt.date, end: dt.date) -> tuple[DataFrame, DataFrame]:
+    """(rows, missing): scan_quotes() of the symbols that have quotes in the range, and the others (symbol), which it skips."""
+    names = list(dict.fromkeys(symbols))
+    rows = scan_quotes(quotes, names, start, end, strict=False)
+    asked = quotes.sparkSession.createDataFrame([(s,) for s in names], "symbol string")
+    return rows, asked.join(rows.select("symbol").distinct(), "symbol", "left_anti")
+
+
 def demo_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier-month panel as quotes: symbol, date (month), close (price over quantity), adjusted_close, volume, sector (region)."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

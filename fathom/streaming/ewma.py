@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +12,30 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def last_result(counts: DataFrame) -> DataFrame:
+    """Run an aggregated stream until all its input is read; its whole result, from a Parquet table.
+
+    The table, and the stream's own state, are kept in the folder that spark.checkpoint.dir names, so
+    nothing passes through the driver. Only a local session without that setting gets a temporary one.
+    """
+    spark = counts.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="fathom-stream-")
+    folder, done = f"{root.rstrip('/')}/fathom-stream-{uuid.uuid4().hex}", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/result-{number}"
+        batch.write.mode("overwrite").parquet(path)  # a batch that is run again replaces its own result
+        done.append(path)
+
+    sink = counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(done[-1]) if done else spark.createDataFrame([], counts.schema)
+
+
 def dedup_quotes(quotes: DataFrame, delay: str = "7 days") -> DataFrame:
     """One row per symbol and date within the delay; later ones are dropped. date becomes the event time."""
     timed = quotes.withColumn("event_time", F.to_timestamp(F.col("date").cast("timestamp")))

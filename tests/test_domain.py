@@ -275,6 +275,12 @@ def test_attribution(spark):
     for bad in (w(("A", 0.5)), w(("A", 0.5), ("B", 0.4))):
         with pytest.raises(errors.InvalidParameter):
             at.portfolio_attribution(two, bad)
+    assert rp.factor_lines(factors)[0] == "m: 10.00% (exposure: 1.000, return: 10.00%)"
+    assert rp.security_text("A", "2023-01-01 to 2023-12-31", summary, factors).splitlines() == [
+        "Attribution for A (2023-01-01 to 2023-12-31):", "  Total Return: 17.50%", "  Factor Return: 11.00%", "  Specific Return: 6.50%", f"  R-squared: {(0.11 / 0.175) ** 2:.4f}",
+        "  Factors:", "    m: 10.00% (exposure: 1.000, return: 10.00%)", "    s: 1.00% (exposure: 0.500, return: 1.00%)",
+    ]
+    assert rp.portfolio_text("P", "2023", summary, 2).splitlines()[0::5] == ["Portfolio Attribution: P (2023)", "  Securities: 2"]
     text = rp.attribution_table("A", "2024", summary, factors)
     assert "R-squared" in text and "17.50%" in text and "| m |" in rp.attribution_table("A", "2024", summary, factors, markdown=True)
 
@@ -291,6 +297,8 @@ def test_risk_summary(spark):
     assert rc["contribution_pct"] == pytest.approx(54)
     none = sm.risk_summary(e.filter("exposure > 99"), v, 0.0)[0].first()
     assert none["factor_ratio"] == none["specific_ratio"] == 0 and none["var_95_value"] is None
+    assert rp.risk_text("P", "2023", summary).splitlines()[:2] == ["Risk Summary: P (2023)", f"  Total Risk: {0.0275**0.5:.2%}"]
+    assert rp.factor_lines(factors)[0] == f"Market: {100 * 0.0225 / 0.0275:.2f}% of risk (exposure: 1.000, volatility: 15.00%)"
     assert "95% VaR" in rp.risk_table("P", "2024", summary, factors) and "## Summary" in rp.risk_table("P", "2024", summary, factors, markdown=True)
 
 

@@ -20,6 +20,8 @@ def test_scan(spark, tmp_path):
     rows.write.csv(str(tmp_path / "q"), header=True)
     q = qt.read_quotes(spark, str(tmp_path / "q"), "csv", header="true")
     assert q.schema["volume"].dataType.simpleString() == "bigint"
+    rows, missing = qt.scan_available(q, ["A", "Z", "B", "Z"], D0, D0 + dt.timedelta(9))
+    assert rows.count() == 3 and [r[0] for r in missing.collect()] == ["Z"]
     assert qt.scan_quotes(q, "A", D0, D0).count() == 1 and qt.scan_quotes(q, ["A", "B"], D0, D0 + dt.timedelta(9)).count() == 3
     with pytest.raises(errors.InvalidDateRange):
         qt.scan_quotes(q, "A", D0, D0 - dt.timedelta(1))
