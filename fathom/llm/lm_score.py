@@ -6,8 +6,8 @@ The probability of a word is smoothed with the word before it and with the words
 
     p(w | v) = (c(v, w) + m * p(w)) / (c(v) + m),   p(w) = (c(w) + 1) / (N + V + 1)
 
-with the counts that the probes give, each the middle of its level. m is the one of STRENGTHS under which the held-out texts are most
-probable.
+with the counts that the probes give, each the middle of its level. m is the one of STRENGTHS under which the training texts are most
+probable, each without what it added to the counts itself; the held-out texts have no part in it.
 
 The filter grows with the corpus, so it is never broadcast whole: n-grams go to slices by hash, a slice counts its n-grams and
 builds its part of the filter, and probes go to the slice that would hold them, each n-gram once for
@@ -343,18 +343,35 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["chunk", "order", "at", "found"])
 
 
-def probability_sums(counts: np.ndarray, one: np.ndarray, two: np.ndarray, end_level: int, n: int, v: int) -> np.ndarray:
-    """log10 probability of each text under each of STRENGTHS (a row each), from its tokens' and pairs' levels."""
+def own_counts(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each token's n-gram stands in its own text."""
+    text = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    with np.errstate(over="ignore"):
+        _, back, n = np.unique(mix(keys ^ (text + np.uint64(1)) * np.uint64(M)), return_inverse=True, return_counts=True)
+    return n[back]
+
+
+def probability_sums(counts: np.ndarray, one: np.ndarray, two: np.ndarray, end_level: int, n: int, v: int, own: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 probability of each text under each of STRENGTHS (a row each), from its tokens' and pairs' levels.
+
+    own, what own_counts() gives for both, is taken off the counts first: then a training text is scored by the others.
+    """
     start = np.cumsum(counts) - counts
     before = np.concatenate(([0], one[:-1])).astype(np.int64)
     before[start] = end_level
-    share = (VALUES[one] + 1) / (n + v + 1)
-    after, context = np.minimum(VALUES[two], VALUES[before]), VALUES[before]
+    single, pair, context = VALUES[one], VALUES[two], VALUES[before]
+    if own:
+        less = np.concatenate(([0], own[0][:-1]))
+        less[start] = 1  # a text has one end
+        single, pair, context = (np.maximum(x - y, 0) for x, y in ((single, own[0]), (pair, own[1]), (context, less)))
+        n = n - np.repeat(counts, counts)
+    share = (single + 1) / (n + v + 1)
+    after = np.minimum(pair, context)
     return np.array([np.add.reduceat(np.log10((after + m * share) / (context + m)), start) for m in STRENGTHS])
 
 
 def _scored(chunks: DataFrame, kind: str, n: int, v: int, end_level: int) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base, sums for each text of chunks, which come with their answers (order, at, found)."""
+    """doc_id, held_out, n_tokens, n_known, base, sums, others (null if held out) for each text of chunks, which come with their answers (order, at, found)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, unpack = Tokens(), zstandard.ZstdDecompressor()
@@ -370,7 +387,8 @@ def _scored(chunks: DataFrame, kind: str, n: int, v: int, end_level: int) -> Dat
                         exact.append(np.ascontiguousarray(raw[k:].reshape(8, k).T).view(np.int64).ravel())
                 texts = _texts(row["z"], row["sizes"])
                 tokens, counts = reader.of(texts)
-                back = [np.unique(g, return_inverse=True)[1] for g in (tokens, pairs(tokens))]
+                both = pairs(tokens)
+                back = [np.unique(g, return_inverse=True)[1] for g in (tokens, both)]
                 one, two = (np.concatenate(level[order])[b] for order, b in zip((1, 2), back, strict=True))
                 c = np.concatenate(exact)[back[0]]
                 known = np.log10(c + 1.0)
@@ -382,10 +400,17 @@ def _scored(chunks: DataFrame, kind: str, n: int, v: int, end_level: int) -> Dat
                     x, y, own = ends[a], ends[b], counts[a:b]
                     first = np.cumsum(own) - own
                     sums = probability_sums(own, one[x:y], two[x:y], end_level, n, v)
-                    columns = [pa.array(row["ids"][a:b], batch.schema.field("ids").type.value_type), pa.array(row["held"][a:b], pa.bool_()), pa.array(own), pa.array(np.add.reduceat((c[x:y] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(known[x:y], first)), pa.array(list(sums.T), pa.list_(pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "sums"])
+                    others: list[np.ndarray | None] = [None] * (b - a)
+                    learnt = ~np.array(row["held"][a:b])
+                    if learnt.any():
+                        at, size = np.repeat(learnt, own), own[learnt]
+                        left = probability_sums(size, one[x:y][at], two[x:y][at], end_level, n, v, tuple(own_counts(g[x:y][at], size) for g in (tokens, both)))
+                        for k, column in zip(np.flatnonzero(learnt), left.T, strict=True):
+                            others[k] = column
+                    columns = [pa.array(row["ids"][a:b], batch.schema.field("ids").type.value_type), pa.array(row["held"][a:b], pa.bool_()), pa.array(own), pa.array(np.add.reduceat((c[x:y] > 0).astype(np.int64), first)), pa.array(np.add.reduceat(known[x:y], first)), pa.array(list(sums.T), pa.list_(pa.float64())), pa.array(others, pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "sums", "others"])
 
-    return chunks.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, sums array<double>")
+    return chunks.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, sums array<double>, others array<double>")
 
 
 def _end_level(model: DataFrame, slice_bits: int) -> int:
@@ -397,7 +422,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and strength (m) for each row of docs.
 
     A null or empty text is its end alone; a text of any length is one chunk at most. A null doc_id counts as the text ''. Repeated rows are each a text.
-    Without training texts N and V are 0 and every token is unknown; without held-out texts m is the smallest; an empty table gives no rows. Further columns are
+    Without training texts N and V are 0, every token is unknown and m is the smallest; an empty table gives no rows. Further columns are
     ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -414,7 +439,7 @@ def score(docs: DataFrame) -> DataFrame:
     found = both.repartition("slice").sortWithinPartitions("slice", F.col("chunk").asc_nulls_first()).mapInArrow(_answers, "chunk long, order int, at long, found binary")
     found = found.groupBy("chunk").agg(F.collect_list(F.struct("order", "at", "found")).alias("found"))
     scored = stage(_scored(chunks.join(found.hint("merge"), "chunk"), dict(docs.dtypes)["doc_id"], n, v, _end_level(model, slice_bits)), "lm-scores")
-    totals = scored.filter("held_out").agg(*(F.sum(F.get("sums", F.lit(k))) for k in range(len(STRENGTHS)))).first()
+    totals = scored.agg(*(F.sum(F.get("others", F.lit(k))) for k in range(len(STRENGTHS)))).first()
     best = max(range(len(STRENGTHS)), key=lambda k: totals[k]) if totals[0] is not None else 0
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),

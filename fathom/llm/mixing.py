@@ -3,8 +3,10 @@
 Slot i of the schedule has the golden-ratio point frac(i * 0.618...), which falls into one source's
 interval of the cumulative targets. Slots are ranked within their source, and the ranks share the source's
 target in blocks of equal tokens: rank r takes block r of the source's shuffled stream, read on
-from its start up to MAX_EPOCHS times, the last block as long as what is left. So each source gives its target to the word, however small it is, and
-sources alternate along the schedule in proportion to their targets.
+from its start up to MAX_EPOCHS times, the last block as long as what is left. So each source gives its target to the word, however small it is.
+
+The slots are the order of the mix: a document stands where the first slot that reads it stands. As the points are spread evenly, every
+beginning of that order holds the sources within a few blocks of their shares.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def schedule(spark: SparkSession, goal: DataFrame, n: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, slots: int = SLOTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: `keep`, source, size, source_size, target, taken (words, repeats counted).
+    """One row per row of docs: `keep`, source, size, source_size, target, taken (words, repeats counted), first_slot (its place in the mix; null if nothing is taken).
 
     A null or empty text has size 0 and takes 0. Null sources are one source, named last. Repeated rows
     are each a part of the stream. An empty table, or one without words, gives targets of 0. The same
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     total = (goal.agg(F.max("_fx_total")).first()[0]) or 0
     wide = rows.join(goal.select("_fx_g", "source_size", "target"), "_fx_g")
     if total == 0:
-        return wide.select(*keep, "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        return wide.select(*keep, "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     plan = stage(schedule(docs.sparkSession, goal, min(slots, total)), "mix-schedule")
     words_sql = f"least(floor(target + 0.5), source_size * {max_epochs})"
     # A source's words to take, and the words of its blocks: the same for each of its slots, the last one's remainder apart.
@@ -97,9 +99,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     pieces = read.select("_fx_id", "_fx_g", "_fx_lo", "_fx_to", "_fx_block", F.explode(F.expr("sequence(_fx_lo div _fx_block, (_fx_to - 1) div _fx_block)")).alias("_fx_rank"))
     pieces = pieces.join(plan, ["_fx_g", "_fx_rank"])
     part = F.least(F.col("_fx_to"), (F.col("_fx_rank") + 1) * F.col("_fx_block")) - F.greatest(F.col("_fx_lo"), F.col("_fx_rank") * F.col("_fx_block"))
-    taken = pieces.groupBy("_fx_id").agg(F.sum(part).alias("_fx_taken"))
+    taken = pieces.groupBy("_fx_id").agg(F.sum(part).alias("_fx_taken"), F.min("slot").alias("first_slot"))
     out = at.join(taken, "_fx_id", "left")
-    return out.select(*keep, "source", "size", "source_size", "target", F.coalesce("_fx_taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*keep, "source", "size", "source_size", "target", F.coalesce("_fx_taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -121,4 +123,4 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def op9_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")

@@ -14,9 +14,9 @@ from fathom.llm._common import SPACE, WORD, table
 
 NGRAM = 5
 #: The stop-word ratio is smoothed, (stops + 2) / (words + 10), so that very short clean texts pass.
-#: Common short words of English, French, German and Spanish.
+#: Common short words of English, French, German and Spanish, for words in lower case.
 STOP_WORDS = (
-    "a al an and are as at au auf be by con das de dem den der des die du ein el elle en es est et for from für ge il im in is ist it la las le les lich los "
+    "a al an and are as at au auf be by con das de dem den der des die du ein el elle en es est et for from für il im in is ist it la las le les los "
     "mit of on or ou para par por pour qu que qui se sich su sur that the this to un una und une von was with y zu"
 ).split()
 
@@ -42,7 +42,7 @@ THRESHOLDS = (
 
 
 def _lookup(words: str) -> Column:
-    return F.filter(words, lambda w: w.isin(STOP_WORDS))
+    return F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -93,16 +93,26 @@ def verdict(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
     return out
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """df, with a projection at its end that no filter passes.
+
+    Catalyst would push a filter below the projections and repeat their nested expressions in it; a row id, which is not deterministic, keeps it above.
+    """
+    numbered = df.withColumn("_fx_id", F.monotonically_increasing_id())
+    return numbered.select(*(F.when(F.col("_fx_id") >= 0, F.col(c)).alias(c) for c in df.columns))
+
+
 def score_quality(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the ratios, a row per row of docs.
 
     A null or empty text has no words and fails. Repeated rows are judged each; an empty table gives
-    no rows; further columns are ignored. No shuffle: each row is judged where it is read.
+    no rows; further columns are ignored. A text of any length is judged whole. No shuffle: each row is judged where it is read.
+    A filter on the result stays above the measures, which are computed once (see barrier()).
     """
     df = measures(docs.select("doc_id", "text"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(c, 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_ratio", "shout_ratio", "echo_ratio", "dup_line_ratio")))
+    return barrier(df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(F.round(c, 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_ratio", "shout_ratio", "echo_ratio", "dup_line_ratio"))))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +134,7 @@ m AS (
   SELECT w.rid, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-    len(list_filter(words, lambda x: x IN ({stop}))) AS stops, length(regexp_replace(text, '[^!]+', '', 'g')) AS shouts,
+    len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS stops, length(regexp_replace(text, '[^!]+', '', 'g')) AS shouts,
     len(list_filter(words, lambda x, i: i > 1 AND words[i - 1] = x)) AS echoes, len(lines) AS n_lines
   FROM w LEFT JOIN r ON w.rid = r.rid
 ), x AS (
@@ -138,9 +148,10 @@ FROM x"""
 
 
 def keep_good(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns.
+
+    Null and empty texts fail and go; repeated rows stay or go each; an empty table gives none; texts of any length are judged whole.
+    """
     df = measures(docs.select(F.struct("*").alias("_fx_row"), "text"))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    # Catalyst would push a filter below the projections and repeat their expressions in it; it leaves one above a row id.
-    df = df.withColumn("_fx_ok", ~failed & verdict(thresholds)).withColumn("_fx_id", F.monotonically_increasing_id())
-    return df.filter("_fx_ok and _fx_id >= 0").select("_fx_row.*")
+    return barrier(df.select("_fx_row", (~failed & verdict(thresholds)).alias("_fx_ok"))).filter("_fx_ok").select("_fx_row.*")
