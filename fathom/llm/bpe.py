@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import functools
 import json
-from array import array
+import struct
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,13 +25,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fathom.llm._common import stage, table
 
 #: Symbols of a leaf of the tree.
-LEAF = 32
+LEAF = 64
 #: Bytes of text that one task encodes at a time; longer texts are dealt out in such parts.
 PART = 1 << 16
 #: Words whose encodings a task remembers.
 REMEMBERED = 1 << 17
+#: The lower half of a merge is the id it gives; none ranks last.
+ID, NONE = (1 << 32) - 1, 1 << 62
 #: Bytes of text that become one Arrow batch of results.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level files: itself if it can be printed, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
 class Bpe:
@@ -39,15 +50,21 @@ class Bpe:
         from tokenizers import Tokenizer
 
         spec, whole = json.loads(rules), Tokenizer.from_str(rules)
-        model = spec["model"]
+        model, steps = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges") or spec.get("decoder"):
             raise ValueError("only plain BPE without a decoder is known")
-        self.suffix = model.get("end_of_word_suffix") or ""
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True) or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            raise ValueError("only words matched by a pattern, as bytes, are known")
         self.vocab: dict[str, int] = model["vocab"]
+        suffix = model.get("end_of_word_suffix") or ""
+        self._letters = letters = byte_letters()
+        #: A byte's id within a word, and as a word's last.
+        self.inner, self.last = [self.vocab.get(c) for c in letters], [self.vocab.get(c + suffix) for c in letters]
+        self._bytes = {c: b for b, c in enumerate(letters)}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        #: Two ids, as one number, to (rank, the id that they become).
-        self.merges = {self.vocab[a] << 32 | self.vocab[b]: (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        if len({made for _, made in self.merges.values()}) != len(self.merges):
+        #: Two ids, as one number, to the rank of their merge and the id that they become, as one number.
+        self.merges = {self.vocab[a] << 32 | self.vocab[b]: rank << 32 | self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        if len({x & ID for x in self.merges.values()}) != len(self.merges):
             raise ValueError("a token that two merges make has no unique parts")
         self.symbols: dict[int, tuple[int, ...]] = {}
         for a, b in pairs:
@@ -60,30 +77,66 @@ class Bpe:
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self._special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self._normal, self._split = whole.normalizer, whole.pre_tokenizer
-        self._known: dict[str, array] = {}
+        self._light = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self._find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self._plain: dict[str, bool] = {}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _is_plain(self, c: str) -> bool:
+        """Whether the library does with a character what lower() and the pattern do here; tables of other versions of Unicode may differ."""
+        normal, lower = self._normal.normalize_str(f"x{c}x")[1:-1], c.lower()
+        if c == "Σ" or normal != lower and not (normal == " " and not self._find(c)):
+            return False
+        return all([w for w, _ in self._split.pre_tokenize_str(t)] == ["".join(self._letters[b] for b in w.encode()) for w in self._find(t)] for t in (lower + lower, "!" + lower, "a" + lower))
 
     def words(self, text: str) -> list[str]:
-        """The words of a text as strings of symbols, added tokens among them."""
+        """The words of a text, normalised, added tokens among them.
+
+        Texts of characters that are known to need no more are lowered and split here, which is fast; others by the library.
+        """
         out: list[str] = []
         for k, piece in enumerate(self._special.split(text) if self._special else [text]):
             if k % 2:
                 out.append(piece)
-            elif piece:
-                out.extend(w for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(piece) if self._normal else piece))
+                continue
+            chars = set(piece)
+            for c in chars.difference(self._plain):
+                self._plain[c] = self._is_plain(c)
+            if self._light and all(map(self._plain.__getitem__, chars)) and unicodedata.is_normalized("NFC", piece):
+                out.extend(self._find(piece.lower()))
+                continue
+            normal = self._normal.normalize_str(piece) if self._normal else piece
+            out.extend(bytes(map(self._bytes.__getitem__, w)).decode() for w, _ in self._split.pre_tokenize_str(normal))
         return out
 
     def merge(self, ids: list[int]) -> list[int]:
         """ids after all merges, the lowest rank first and, of one rank, from the left."""
+        if len(ids) > 4 * LEAF:
+            return self._merge_long(ids)
+        get, ids = self.merges.get, list(ids)
+        made = [get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+        while made and (best := min(made)) != NONE:
+            k = made.index(best)
+            ids[k : k + 2] = [best & ID]
+            del made[k]
+            if k:
+                made[k - 1] = get(ids[k - 1] << 32 | ids[k], NONE)
+            if k < len(made):
+                made[k] = get(ids[k] << 32 | ids[k + 1], NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same, with all places of a rank in one pass: a merge's result takes part in later ranks only."""
         get = self.merges.get
         while len(ids) > 1:
-            found = [x for a, b in zip(ids, ids[1:]) if (x := get(a << 32 | b))]
-            if not found:
+            best = min(get(a << 32 | b, NONE) for a, b in zip(ids, ids[1:]))
+            if best == NONE:
                 break
-            made = min(found)
             out, k, last = [], 0, len(ids) - 1
             while k <= last:
-                if k < last and get(ids[k] << 32 | ids[k + 1]) == made:
-                    out.append(made[1])
+                if k < last and get(ids[k] << 32 | ids[k + 1]) == best:
+                    out.append(best & ID)
                     k += 2
                 else:
                     out.append(ids[k])
@@ -110,28 +163,32 @@ class Bpe:
             k *= 2
 
     def start(self, word: str, ends: bool = True) -> list[int]:
-        """The symbols' ids; the last symbol of a word has the suffix. A symbol that the vocabulary lacks is left out."""
-        out = [self.vocab.get(c) for c in (word[:-1] if ends else word)]
-        return [i for i in (*out, *((self.vocab.get(word[-1] + self.suffix),) if ends and word else ())) if i is not None]
-
-    def word(self, word: str) -> array:
-        """The encoding of a word or added token, remembered if short."""
-        got = self._known.get(word)
+        """The ids of the word's bytes, the last of which has the suffix. A byte that the vocabulary lacks is left out."""
+        data = word.encode()
+        out = [self.inner[b] for b in data]
+        if ends and data:
+            out[-1] = self.last[data[-1]]
+        return [i for i in out if i is not None] if None in out else out
+
+    def word(self, word: str) -> bytes:
+        """The packed encoding of a word or added token. Short ones are remembered, those of late longer than others."""
+        got = self._older.get(word)
         if got is None:
-            got = array("I", [self.added[word]] if word in self.added else self.tree(self.start(word)))
-            if len(word) <= LEAF:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[word] = got
+            got = pack([self.added[word]] if word in self.added else self.tree(self.start(word)))
+        if len(word) <= LEAF:
+            if len(self._known) >= REMEMBERED:
+                self._older, self._known = self._known, {}
+            self._known[word] = got
         return got
 
-    def encode(self, words: list[str]) -> array:
-        out, word, known = array("I"), self.word, self._known
+    def encode(self, words: list[str]) -> bytes:
+        """The packed ids of words."""
+        out, word = [], self.word
         for w in words:
-            out.extend(known.get(w) or word(w))
-        return out
+            out.append(self._known.get(w) or word(w))
+        return b"".join(out)
 
-    def decode(self, ids: array) -> str:
+    def decode(self, ids: list[int]) -> str:
         """Tokens with a space between; ids that stand for none are left out."""
         return " ".join(t for t in map(self.tokens.get, ids) if t is not None)
 
@@ -142,20 +199,13 @@ def load(rules: str) -> Bpe:
     return Bpe(rules)
 
 
-def pack(ids: array) -> bytes:
+def pack(ids: list[int]) -> bytes:
     """ids as little-endian unsigned 32-bit integers."""
-    if array("H", [1]).tobytes() == b"\0\1":
-        ids = array("I", ids)
-        ids.byteswap()
-    return ids.tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def unpack(ids: bytes) -> array:
-    out = array("I")
-    out.frombytes(ids)
-    if array("H", [1]).tobytes() == b"\0\1":
-        out.byteswap()
-    return out
+def unpack(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 def _with(batch: pa.RecordBatch, begin: int, values: list, kind: pa.DataType, name: str) -> pa.RecordBatch:
@@ -184,7 +234,7 @@ def _each(rules, name: str, kind: pa.DataType, work):  # noqa: ANN001, ANN202
 
 
 def _encode_text(bpe: Bpe, text: bytes) -> bytes:
-    return pack(bpe.encode(bpe.words(text.decode("utf-8", "replace"))))
+    return bpe.encode(bpe.words(text.decode("utf-8", "replace")))
 
 
 def _cuts(text: bytes, size: int) -> Iterator[bytes]:
@@ -263,9 +313,9 @@ def _encode_parts(rules):  # noqa: ANN001, ANN202
                 if kind == TEXT:
                     out.append(_encode_text(bpe, body))
                 elif kind == WORDS:
-                    out.append(pack(bpe.encode(body.decode().split(" "))))
+                    out.append(bpe.encode(body.decode().split(" ")))
                 else:
-                    out.append(pack(array("I", bpe.tree(bpe.start(body.decode(), kind == END)))))
+                    out.append(pack(bpe.tree(bpe.start(body.decode(), kind == END))))
                 seen += len(body)
                 if seen >= BATCH_BYTES:
                     yield _with(batch, begin, out, pa.binary(), "ids")
@@ -283,19 +333,19 @@ def _gather(rules):  # noqa: ANN001, ANN202
         bpe = load(rules.value)
         for batch in batches:
             for k in range(batch.num_rows):
-                out, word = array("I"), []
+                out, word = [], []
                 for part in batch.column(1)[k]:
-                    ids = unpack(part["ids"].as_py())
+                    ids = part["ids"].as_py()
                     if part["kind"].as_py() in (TEXT, WORDS):
-                        out.extend(ids)
+                        out.append(ids)
                         continue
-                    word.append(ids.tolist())
+                    word.append(unpack(ids))
                     if part["kind"].as_py() == END:
                         while len(word) > 1:
                             word = [bpe.concat(*word[i : i + 2]) if i + 1 < len(word) else word[i] for i in range(0, len(word), 2)]
-                        out.extend(word[0])
+                        out.append(pack(word[0]))
                         word = []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([pack(out)], pa.binary())], names=["_text", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([b"".join(out)], pa.binary())], names=["_text", "ids"])
 
     return run
 
