@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathom.errors import InsufficientData, InvalidParameter
 from fathom.functions.columns import clamp
+from fathom.operators.rolling import Rolling
 
 
 def _numbered(returns: DataFrame) -> DataFrame:
@@ -210,8 +211,10 @@ def regimes(series: DataFrame, config: RegimeConfig = RegimeConfig(), by: str |
     scale is the squared ratio held within [1 / max_scale, max_scale], 1 where the long deviation is 0.
     """
     c, order = config, (W.partitionBy(by) if by else W.partitionBy()).orderBy("date")
-    vol = lambda n: F.coalesce(F.stddev_samp("ret").over(order.rowsBetween(1 - n, 0)), F.lit(0.0))
-    df = series.withColumns({"short_vol": vol(c.short_window), "long_vol": vol(c.long_window), "_n": F.row_number().over(order)}).filter(F.col("_n") >= c.long_window).drop("_n")
+    rolling = Rolling([by] if by else [], "date").add("ret", F.col("ret"))
+    vol = lambda n: F.coalesce(rolling.std("ret", n), F.lit(0.0))
+    df = rolling.frame(series).withColumns({"short_vol": vol(c.short_window), "long_vol": vol(c.long_window), "_n": F.row_number().over(order)})
+    df = rolling.clean(df).filter(F.col("_n") >= c.long_window).drop("_n")
     quiet = F.col("long_vol") == 0
     ratio = F.when(quiet, 1.0).otherwise(F.try_divide("short_vol", "long_vol"))
     df = df.withColumn("ratio", ratio)

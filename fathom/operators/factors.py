@@ -1,14 +1,15 @@
-"""Style factors of every date and symbol, by window functions over one ordering per symbol."""
+"""Style factors of every date and symbol, by running sums and lags over one ordering per symbol."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.errors import InvalidParameter
 from fathom.functions.columns import zscore
 from fathom.operators.panel import by_symbol
+from fathom.operators.rolling import Rolling
 from fathom.sources.universe import SECTORS
 
 FACTORS = ("momentum", "size", "beta", "volatility", "illiquidity")
@@ -41,38 +42,39 @@ def available_factors() -> list[str]:
     return list(FACTORS)
 
 
-def _trail(n: int) -> WindowSpec:
-    return by_symbol().rowsBetween(1 - n, 0)
+def momentum(c: FactorConfig) -> Column:
+    """Price `skip` rows ago over the price `skip + lookback` rows ago, less 1."""
+    return F.try_divide(F.lag("adjusted_close", c.momentum_skip).over(by_symbol()), F.lag("adjusted_close", c.momentum_skip + c.momentum_lookback).over(by_symbol())) - 1
 
 
-def _enough(value: Column, over: str, n: int, least: int) -> Column:
-    return F.when(F.count(over).over(_trail(n)) >= least, value)
+def _rolling() -> Rolling:
+    """Trailing sums of the returns, the market and |return| over traded value (Amihud 2002), by symbol."""
+    daily = F.try_divide(F.abs("asset_returns"), F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
+    return Rolling(["symbol"], "date").add("asset", F.col("asset_returns")).add("market", F.col("market_return")).add("amihud", daily).pair("asset", "market")
 
 
-def momentum(c: FactorConfig) -> Column:
-    """Price `skip` rows ago over the price `skip + lookback` rows ago, less 1."""
-    return F.try_divide(F.lag("adjusted_close", c.momentum_skip).over(by_symbol()), F.lag("adjusted_close", c.momentum_skip + c.momentum_lookback).over(by_symbol())) - 1
+def _enough(rolling: Rolling, value: Column, n: int, least: int) -> Column:
+    return F.when(rolling.count("asset", n) >= least, value)
 
 
-def beta(c: FactorConfig) -> Column:
-    w = _trail(c.beta_lookback)
-    return _enough(F.try_divide(F.covar_samp("asset_returns", "market_return").over(w), F.nullif(F.var_samp("market_return").over(w), F.lit(0.0))), "asset_returns", c.beta_lookback, c.beta_min)
+def beta(c: FactorConfig, rolling: Rolling) -> Column:
+    n = c.beta_lookback
+    return _enough(rolling, F.try_divide(rolling.covar("asset", "market", n), F.nullif(rolling.var("market", n), F.lit(0.0))), n, c.beta_min)
 
 
-def volatility(c: FactorConfig) -> Column:
-    return _enough(F.stddev_samp("asset_returns").over(_trail(c.volatility_lookback)) * float(c.periods_per_year) ** 0.5, "asset_returns", c.volatility_lookback, c.volatility_min)
+def volatility(c: FactorConfig, rolling: Rolling) -> Column:
+    return _enough(rolling, rolling.std("asset", c.volatility_lookback) * float(c.periods_per_year) ** 0.5, c.volatility_lookback, c.volatility_min)
 
 
-def illiquidity(c: FactorConfig) -> Column:
-    """Mean of |return| over traded value (Amihud 2002)."""
-    daily = F.try_divide(F.abs("asset_returns"), F.nullif(F.col("close") * F.col("volume"), F.lit(0.0)))
-    return _enough(F.avg(daily).over(_trail(c.amihud_lookback)), "asset_returns", c.amihud_lookback, c.amihud_min)
+def illiquidity(c: FactorConfig, rolling: Rolling) -> Column:
+    return _enough(rolling, rolling.mean("amihud", c.amihud_lookback), c.amihud_lookback, c.amihud_min)
 
 
 def raw_factors(panel: DataFrame, config: FactorConfig = FactorConfig()) -> DataFrame:
     """panel with momentum, size (log cap), beta, volatility and illiquidity of every row, null where a window is short."""
-    size = F.when(F.col("market_cap") > 0, F.ln("market_cap"))
-    return panel.withColumns({"momentum": momentum(config), "size": size, "beta": beta(config), "volatility": volatility(config), "illiquidity": illiquidity(config)})
+    size, rolling = F.when(F.col("market_cap") > 0, F.ln("market_cap")), _rolling()
+    made = {"momentum": momentum(config), "size": size, "beta": beta(config, rolling), "volatility": volatility(config, rolling), "illiquidity": illiquidity(config, rolling)}
+    return rolling.clean(rolling.frame(panel).withColumns(made))
 
 
 def scores(panel: DataFrame, config: FactorConfig = FactorConfig(), date=None) -> DataFrame:  # noqa: ANN001
