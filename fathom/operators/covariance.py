@@ -1,53 +1,41 @@
 """Factor covariance from long rows (date, factor, ret) to long rows (factor_i, factor_j, value).
 
-Every estimator is a join of the rows with themselves on the date and one aggregate. Date weights come
-from a numbering of the distinct dates, one row a date.
+Every estimator takes its sums of products from moments.gram(), one pass over the rows in blocks of dates.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fathom.errors import InsufficientData, InvalidParameter
 from fathom.functions.columns import clamp
+from fathom.operators.moments import MOMENTS, Basis, basis, gram, lagged, numbered
 from fathom.operators.rolling import Rolling
 
 
-def _numbered(returns: DataFrame) -> DataFrame:
-    """date, t (from 0), n: the distinct dates."""
-    return returns.select("date").distinct().withColumn("t", F.row_number().over(W.orderBy("date")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
-
-
-def _need(returns: DataFrame, least: int) -> int:
-    n = returns.select("date").distinct().count()
-    if n < least:
-        raise InsufficientData(least, n)
-    return n
-
-
 def held(returns: DataFrame) -> DataFrame:
-    """returns, cached: a row per date and factor, which the estimators read many times over. DataFrame.unpersist or Catalog.clearCache frees it."""
+    """returns, cached: a row per date and factor, which an estimator reads twice. DataFrame.unpersist or Catalog.clearCache frees it."""
     return returns if returns.is_cached else returns.select("date", "factor", "ret").cache()
 
 
-def _pairs(x: DataFrame, y: DataFrame | None = None, on: str = "date") -> DataFrame:
-    """Each date's rows of x with those of y (or x), as factor_i, ri and factor_j, rj, and x's other columns."""
-    y = x if y is None else y
-    right = y.select(on, F.col("factor").alias("factor_j"), F.col("r").alias("rj"))
-    return x.withColumnRenamed("factor", "factor_i").withColumnRenamed("r", "ri").join(right, on)
+def _need(base: Basis, least: int) -> None:
+    if base.n < least:
+        raise InsufficientData(least, base.n)
 
 
-def _demeaned(returns: DataFrame, center: bool = True) -> DataFrame:
-    mean = F.avg("ret").over(W.partitionBy("factor")) if center else F.lit(0.0)
-    return returns.select("date", "factor", (F.col("ret") - mean).alias("r"))
+def _centred(base: Basis, center: bool) -> Basis:
+    return base if center else replace(base, means=np.zeros(len(base.names)))
 
 
 def sample(returns: DataFrame, center: bool = True) -> DataFrame:
     """Covariance over T, centred or not."""
-    return _pairs(_demeaned(returns, center)).groupBy("factor_i", "factor_j").agg(F.avg(F.col("ri") * F.col("rj")).alias("value"))
+    returns = held(returns)
+    found = gram(returns, _centred(basis(returns), center), {"xy": MOMENTS["xy"]})
+    return found.select("factor_i", "factor_j", (F.col("xy") / F.col("n")).alias("value"))
 
 
 @dataclass(frozen=True)
@@ -76,22 +64,24 @@ def ewma(returns: DataFrame, config: EwmaConfig = EwmaConfig(), strict: bool = T
     default for parity.
     """
     returns = held(returns)
+    base = basis(returns)
     if strict:
-        _need(returns, config.min_observations)
-    w = returns.join(_numbered(returns), "date").withColumn("w", ewma_weight(config.decay, F.col("t"), F.col("n")))
-    mean = F.sum(F.col("w") * F.col("ret")).over(W.partitionBy("factor"))
-    x = w.select("date", "factor", "w", "n", (F.col("ret") - mean).alias("r"))
-    scale = F.max("n") * (1 - config.decay) / (1 - F.pow(F.lit(config.decay), F.max("n"))) if config.bias_correction else F.lit(1.0)
-    return _pairs(x).groupBy("factor_i", "factor_j").agg((F.sum(F.col("w") * F.col("ri") * F.col("rj")) * scale).alias("value"))
+        _need(base, config.min_observations)
+    n, t = base.n, np.arange(base.n)
+    w = np.where(t == 0, config.decay ** (n - 1), (1 - config.decay) * config.decay ** (n - 1.0 - t)) if n else np.zeros(0)
+    weight = ewma_weight(config.decay, F.col("t"), F.lit(n))
+    means = {r[0]: r[1] for r in numbered(returns, base).groupBy("factor").agg(F.sum(weight * F.col("ret"))).collect()}  # a row a factor
+    base = replace(base, means=np.array([means[f] for f in base.names]))
+    scale = n * (1 - config.decay) / (1 - config.decay**n) if config.bias_correction and n else 1.0
+    return gram(returns, base, {"xy": MOMENTS["xy"]}, weights=w).select("factor_i", "factor_j", (F.col("xy") * scale).alias("value"))
 
 
 def ewma_update(cov: DataFrame, new: DataFrame, decay: float = 0.95) -> DataFrame:
     """cov after the periods of `new`, one by one: C <- decay C + (1 - decay) r r'; neither centred nor corrected."""
-    t = _numbered(new)
-    x = new.join(t, "date").select("date", "factor", F.col("ret").alias("r"), ((1 - decay) * F.pow(F.lit(decay), F.col("n") - 1 - F.col("t"))).alias("w"))
-    add = _pairs(x).groupBy("factor_i", "factor_j").agg(F.sum(F.col("w") * F.col("ri") * F.col("rj")).alias("add"))
-    n = t.agg(F.count(F.lit(1)).alias("m"))
-    old = cov.join(F.broadcast(n)).withColumn("old", F.col("value") * F.pow(F.lit(decay), F.col("m"))).select("factor_i", "factor_j", "old")  # one row
+    base = _centred(basis(new), False)
+    m = base.n
+    add = gram(new, base, {"xy": MOMENTS["xy"]}, weights=(1 - decay) * decay ** (m - 1.0 - np.arange(m))).select("factor_i", "factor_j", F.col("xy").alias("add"))
+    old = cov.select("factor_i", "factor_j", (F.col("value") * decay**m).alias("old"))
     return old.join(add, ["factor_i", "factor_j"], "full").select("factor_i", "factor_j", (F.coalesce("old", F.lit(0.0)) + F.coalesce("add", F.lit(0.0))).alias("value"))
 
 
@@ -120,54 +110,65 @@ def with_deviations(cov: DataFrame) -> DataFrame:
     return cov.join(sd.toDF("factor_i", "si"), "factor_i").join(sd.toDF("factor_j", "sj"), "factor_j").select("factor_i", "factor_j", "value", "si", "sj")
 
 
+def _shrinkage(returns: DataFrame, target: str, mode: str, center: bool) -> tuple[DataFrame, DataFrame]:
+    """The moments of each pair with s, si and sj, and one row: intensity, gamma, pi, rho, rbar and the mean variance.
+
+    Distances to the target are polynomials in the mean correlation or variance, so one aggregate over the pairs gives them all.
+    """
+    if target not in TARGETS:
+        raise InvalidParameter(f"target must be one of {', '.join(TARGETS)}")
+    base = _centred(basis(returns), center)
+    x = gram(returns, base, {k: MOMENTS[k] for k in ("xy", "xxyy", "xxxy")})
+    x = x.select("factor_i", "factor_j", F.col("n").alias("t"), (F.col("xy") / F.col("n")).alias("s"), (F.col("xxyy") / F.col("n")).alias("m4"), (F.col("xxxy") / F.col("n")).alias("m31"))
+    same = F.col("factor_i") == F.col("factor_j")
+    sd = lambda by: F.sqrt(F.max(F.when(same, F.col("s"))).over(W.partitionBy(by)))
+    x = x.withColumns({"si": sd("factor_i"), "sj": sd("factor_j")})
+    both, live = F.col("si") * F.col("sj"), (F.col("si") > 0) & (F.col("sj") > 0)
+    add = lambda on, value: F.coalesce(F.sum(F.when(on, value)), F.lit(0.0))
+    pi = F.col("m4") - F.col("s") ** 2
+    # theta_ii,ij = mean (y_i^2 - s_ii)(y_i y_j - s_ij) = mean y_i^3 y_j - s_ii s_ij; summing over i <> j both halves of the formula are the same.
+    theta = F.when(F.col("si") > 0, F.col("sj") / F.col("si") * (F.col("m31") - F.col("si") ** 2 * F.col("s")))
+    every = F.lit(True)
+    one = x.agg(
+        F.coalesce(F.avg(F.when((F.col("factor_i") < F.col("factor_j")) & live, F.col("s") / both)), F.lit(0.0)).alias("rbar"), F.avg(F.when(same, F.col("s"))).alias("mean"), F.max("t").alias("t"),
+        add(every, pi).alias("pi"), add(same, pi).alias("pi_own"), add(~same, theta).alias("theta"), add(~same, F.col("s") ** 2).alias("ss"), add(~same, F.col("s") * both).alias("sb"), add(~same, both**2).alias("bb"),
+        add(same, F.col("s") ** 2).alias("own2"), add(same, F.lit(1.0)).alias("k"), add(same, F.col("s")).alias("own"),
+    )
+    c = F.col
+    if target == "identity":
+        gamma, rho = c("ss") + c("own2") - 2 * c("mean") * c("own") + c("k") * c("mean") ** 2, F.lit(0.0)
+    elif target == "diagonal":
+        gamma, rho = c("ss"), c("pi_own")
+    else:
+        gamma, rho = c("ss") - 2 * c("rbar") * c("sb") + c("rbar") ** 2 * c("bb"), c("pi_own") + c("rbar") * c("theta")
+    one = one.withColumn("gamma", F.greatest(gamma, F.lit(0.0)))
+    if mode == "reference":
+        # mean |yy' - F|^2 - mean |yy' - S|^2 is |S - F|^2 again.
+        one = one.withColumn("rho", c("gamma")).withColumn("delta", c("rho") / c("gamma"))
+    else:
+        one = one.withColumn("rho", rho).withColumn("delta", (c("pi") - c("rho")) / (c("gamma") * c("t")))
+    return x, one.withColumn("intensity", F.when(c("gamma") > 0, clamp(c("delta"), 0.0, 1.0)).otherwise(0.0))
+
+
 def shrinkage_intensity(returns: DataFrame, target: str = "constant_correlation", mode: str = "published", center: bool = True) -> DataFrame:
     """One row: intensity in [0, 1], gamma, pi, rho.
 
     mode "reference" is (mean|yy' - F|^2 - mean|yy' - S|^2) / |S - F|^2, which is 1 whenever S differs from F.
     mode "published" is (pi - rho) / (gamma T) of Ledoit and Wolf (2004) for the target.
     """
-    returns = held(returns)
-    y = _demeaned(returns, center)
-    s = sample(returns, center)
-    f = shrinkage_target(s, target).withColumnRenamed("value", "f")
-    sf = s.withColumnRenamed("value", "s").join(f, ["factor_i", "factor_j"])
-    gamma = sf.agg(F.sum((F.col("s") - F.col("f")) ** 2).alias("gamma"))
-    prods = _pairs(y).join(sf, ["factor_i", "factor_j"]).withColumn("p", F.col("ri") * F.col("rj"))
-    per = prods.groupBy("factor_i", "factor_j").agg(
-        F.avg((F.col("p") - F.col("s")) ** 2).alias("pi"), F.avg((F.col("p") - F.col("f")) ** 2).alias("pf"), F.count(F.lit(1)).alias("t"), F.max("s").alias("s"),
-        F.avg((F.col("ri") ** 2) * F.col("p")).alias("iiij"),
-    )
-    if mode == "reference":
-        rows = per.agg(F.sum("pi").alias("pi"), F.sum("pf").alias("pf"))
-        out = rows.join(F.broadcast(gamma)).withColumn("rho", F.col("pf") - F.col("pi"))
-        delta = F.col("rho") / F.col("gamma")
-    else:
-        if target == "identity":
-            rho = F.lit(0.0)
-        elif target == "diagonal":
-            rho = F.sum(F.when(F.col("factor_i") == F.col("factor_j"), F.col("pi")))
-        else:
-            dev = with_deviations(s).select("factor_i", "factor_j", "si", "sj")
-            corr = F.when((F.col("factor_i") < F.col("factor_j")) & (F.col("si") > 0) & (F.col("sj") > 0), F.col("s") / (F.col("si") * F.col("sj")))
-            per = per.join(dev, ["factor_i", "factor_j"]).withColumn("rbar", F.coalesce(F.avg(corr).over(W.partitionBy()), F.lit(0.0)))
-            # theta_ii,ij = mean (y_i^2 - s_ii)(y_i y_j - s_ij) = mean y_i^3 y_j - s_ii s_ij; summing over i <> j both halves of the formula are the same.
-            theta = F.col("iiij") - F.col("si") ** 2 * F.col("s")
-            rho = F.sum(F.when(F.col("factor_i") == F.col("factor_j"), F.col("pi")).otherwise(F.when(F.col("si") > 0, F.col("rbar") * F.col("sj") / F.col("si") * theta)))
-        rows = per.agg(F.sum("pi").alias("pi"), rho.alias("rho"), F.max("t").alias("t"))
-        out = rows.join(F.broadcast(gamma))
-        delta = (F.col("pi") - F.col("rho")) / (F.col("gamma") * F.col("t"))
-    return out.select(F.when(F.col("gamma") > 0, clamp(delta, 0.0, 1.0)).otherwise(0.0).alias("intensity"), "gamma", "pi", "rho")
+    return _shrinkage(held(returns), target, mode, center)[1].select("intensity", "gamma", "pi", "rho")
 
 
 def ledoit_wolf(returns: DataFrame, target: str = "constant_correlation", mode: str = "published", center: bool = True, intensity: float | None = None) -> DataFrame:
     """intensity * target + (1 - intensity) * sample covariance."""
     returns = held(returns)
-    _need(returns, 2)
-    s = sample(returns, center)
-    f = shrinkage_target(s, target).withColumnRenamed("value", "f")
-    both = s.join(f, ["factor_i", "factor_j"])
-    d = shrinkage_intensity(returns, target, mode, center).select("intensity") if intensity is None else returns.sparkSession.range(1).select(F.lit(intensity).alias("intensity"))
-    return both.join(F.broadcast(d)).select("factor_i", "factor_j", (F.col("intensity") * F.col("f") + (1 - F.col("intensity")) * F.col("value")).alias("value"))  # d is one row
+    _need(basis(returns), 2)
+    x, one = _shrinkage(returns, target, mode, center)
+    df = x.join(F.broadcast(one.select("rbar", "mean", F.lit(intensity).alias("intensity") if intensity is not None else F.col("intensity"))))  # one row
+    same = F.col("factor_i") == F.col("factor_j")
+    off = F.col("rbar") * F.col("si") * F.col("sj") if target == "constant_correlation" else F.lit(0.0)
+    f = F.when(same, F.col("mean") if target == "identity" else F.col("s")).otherwise(off)
+    return df.select("factor_i", "factor_j", (F.col("intensity") * f + (1 - F.col("intensity")) * F.col("s")).alias("value"))
 
 
 def bartlett(lag: int, lags: int) -> float:
@@ -181,13 +182,12 @@ def auto_lags(n: int) -> int:
 def newey_west(returns: DataFrame, lags: int | None = None, min_observations: int = 60) -> DataFrame:
     """Autocorrelation-robust covariance: S0 + sum of Bartlett weights times (G_l + G_l'), all over T; lags is held below T."""
     returns = held(returns)
-    n = _need(returns, min_observations)
+    base = basis(returns)
+    n = base.n
+    _need(base, min_observations)
     lags = min(auto_lags(n) if lags is None else lags, n - 1)
-    x = _demeaned(returns).join(_numbered(returns).select("date", "t"), "date").select("t", "factor", "r")
-    later = x.select(F.col("t").alias("at"), F.col("factor").alias("factor_i"), F.col("r").alias("ri"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag")).withColumn("t", F.col("at") - F.col("lag"))
-    earlier = x.select("t", F.col("factor").alias("factor_j"), F.col("r").alias("rj"))
-    g = later.join(earlier, "t").groupBy("factor_i", "factor_j").pivot("lag", list(range(lags + 1))).agg(F.sum(F.col("ri") * F.col("rj")) / n)
-    half = g.select("factor_i", "factor_j", F.coalesce(F.col("`0`"), F.lit(0.0)).alias("s0"), sum((F.lit(bartlett(k, lags)) * F.coalesce(F.col(f"`{k}`"), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0)).alias("g"))
+    g = gram(returns, base, {f"g{k}": lagged(k) for k in range(lags + 1)}, lags)
+    half = g.select("factor_i", "factor_j", (F.col("g0") / n).alias("s0"), (sum((F.lit(bartlett(k, lags)) * F.col(f"g{k}") for k in range(1, lags + 1)), F.lit(0.0)) / n).alias("g"))
     turned = half.select(F.col("factor_i").alias("factor_j"), F.col("factor_j").alias("factor_i"), F.col("g").alias("gt"))
     return half.join(turned, ["factor_i", "factor_j"]).select("factor_i", "factor_j", (F.col("s0") + F.col("g") + F.col("gt")).alias("value"))
 
@@ -224,7 +224,9 @@ def regimes(series: DataFrame, config: RegimeConfig = RegimeConfig(), by: str |
 
 def detect_regime(series: DataFrame, config: RegimeConfig = RegimeConfig()) -> DataFrame:
     """The last row of regimes(); an error if there are fewer dates than the long window."""
-    _need(series, config.long_window)
+    n = series.select("date").distinct().count()
+    if n < config.long_window:
+        raise InsufficientData(config.long_window, n)
     return regimes(series, config).orderBy(F.desc("date")).limit(1)
 
 
