@@ -68,18 +68,66 @@ def test_store(spark, tmp_path):
     assert s.read("quotes").filter("symbol = 'D'").count() == 0
     late = dt.date(D0.year + 1, 3, 1)
     s.put("quotes", spark.createDataFrame([("E", late, 3.0, 7)], QUOTE))
-    before = s._manifest("quotes")
+    before = s._state("quotes")
     s.put("quotes", spark.createDataFrame([("E", late, 4.0, 7)], QUOTE))
-    after = s._manifest("quotes")
-    assert [k for k in after["now"] if after["now"][k] != before["now"].get(k)] == [f"{late:%Y-%m}"] and after["before"] == before["now"]
+    after = s._state("quotes")
+    assert [k for k in after["parts"] if after["parts"][k] != before["parts"].get(k)] == [f"{late:%Y-%m}"]
     assert s.read("quotes", late, late).filter("close = 4").count() == s.read("quotes", late, late).count() == 1
-    assert s._open("quotes", after["before"]).filter("close = 3").count() == 1  # a reader of the version before still can
+    assert s._view("quotes", before, lambda k: True).filter("close = 3").count() == 1  # a reader of the version before still can
     s.clear("A")
     assert s.read("quotes").filter("symbol = 'A'").count() == 0 and s.read("quotes").count() > 0
     s.clear()
     assert s.read("quotes").count() == 0 and s.universe().count() == 1
 
 
+def files(root):
+    return {str(f) for f in root.rglob("*") if f.is_file() and not f.name.startswith(".") and "SUCCESS" not in f.name}
+
+
+def test_store_is_a_log(spark, tmp_path):
+    s, day = st.Store(spark, str(tmp_path)), lambda k: D0 + dt.timedelta(k)
+    s.put("quotes", spark.createDataFrame([(x, day(31 * m), 1.0, 1) for x in "ABC" for m in range(3)], QUOTE))
+    before, reader = files(tmp_path), s.read("quotes")
+    s.put("quotes", spark.createDataFrame([("A", day(0), 2.0, 1)], QUOTE))
+    new = files(tmp_path) - before
+    assert len(new) == 2 and before <= files(tmp_path)  # a layer's file and the log's
+    before = files(tmp_path)
+    s.clear("B")
+    assert [f.split("/")[-2] for f in files(tmp_path) - before] == ["_log"] and before <= files(tmp_path)
+    rows = lambda: sorted((r["symbol"], r["date"], r["close"]) for r in s.read("quotes").collect())
+    want = sorted([(x, day(31 * m), 1.0) for x in "AC" for m in range(3) if (x, m) != ("A", 0)] + [("A", day(0), 2.0)])
+    assert rows() == want
+    assert reader.count() == 9  # planned before both
+    s.put("quotes", spark.createDataFrame([("B", day(0), 5.0, 1)], QUOTE))  # rows put after a deletion count
+    want = sorted([*want, ("B", day(0), 5.0)])
+    assert rows() == want
+    s.compact("quotes")
+    assert rows() == want and all(len(x) == 1 for x in s._state("quotes")["parts"].values())
+    for k in range(10):  # merged on the way
+        s.put("quotes", spark.createDataFrame([("A", day(0), float(k), 1)], QUOTE))
+    assert max(len(x) for x in s._state("quotes")["parts"].values()) <= 8 and rows()[0] == ("A", day(0), 9.0) and len(rows()) == len(want)
+
+
+def test_two_writers_and_a_reader(spark, tmp_path, monkeypatch):
+    """A second writer commits between the first one's look at the log and its rename: both layers are there, and a reader sees one state or the next."""
+    s, other = st.Store(spark, str(tmp_path)), st.Store(spark, str(tmp_path))
+    s.put("quotes", spark.createDataFrame([("A", D0, 1.0, 1)], QUOTE))
+    state, calls, seen = s._state, [], []
+
+    def look(table, version=None):
+        got = state(table, version)
+        if not calls and version is None:
+            calls.append(1)
+            other.put("quotes", spark.createDataFrame([("B", D0, 2.0, 1)], QUOTE))
+            seen.append(sorted(r["symbol"] for r in other.read("quotes").collect()))
+        return got
+
+    monkeypatch.setattr(s, "_state", look)
+    s.put("quotes", spark.createDataFrame([("C", D0, 3.0, 1), ("B", D0, 4.0, 1)], QUOTE))
+    assert seen == [["A", "B"]] and {r["symbol"]: r["close"] for r in other.read("quotes").collect()} == {"A": 1.0, "B": 4.0, "C": 3.0}
+    assert other._versions("quotes") == [1, 2, 3]
+
+
 PAYLOAD = {
     "cik": 771204, "entityName": "Example", "facts": {
         "us-gaap": {
