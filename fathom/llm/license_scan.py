@@ -3,8 +3,8 @@
 Blocks of consecutive lines about as long as a template, from single lines to whole license bodies, are
 compared with it, with token weights from all texts. A block is looked at only if it holds one of the template's key tokens: the
 others are so common that without a key no block can reach THRESHOLD. The best block names a text's own
-license. A text that matches the body of a license, or is as a whole like a template, is a license file and holds for its
-directory. Texts without a license of their own take that of the nearest directory above them
+license. A text most of which is the body of a license, or that is as a whole like a template, is a license file and holds for its
+directory; a source file with a license's body as its header names its own license only. Texts without a license of their own take that of the nearest directory above them
 that has one, found by joining each directory's ancestors with the licensed directories.
 """
 
@@ -19,16 +19,17 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import stage, table
+from fathom.llm._common import join_counted, stage, table
 
 
 @dataclass(frozen=True)
 class Template:
-    """body: the text of a license itself or its beginning, as in a license file; else a notice that names it."""
+    """body: the text of a license itself or its beginning, as in a license file; else a notice that names it. length: the tokens of the whole license, where the text is only its beginning."""
 
     license: str
     text: str
     body: bool = False
+    length: int = 0
 
 
 #: The notices and the bodies (of the long ones the beginning) of common licenses.
@@ -41,7 +42,7 @@ See the License for the specific language governing permissions and limitations
     Template("Apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/
 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.
-"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.""", True),
+"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.""", True, 1600),
     Template("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License."),
     Template("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -58,7 +59,7 @@ You should have received a copy of the GNU General Public License along with thi
     Template("GPL-3.0", """GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
 Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works.
-The licenses for most software and other practical works are designed to take away your freedom to share and change the works.""", True),
+The licenses for most software and other practical works are designed to take away your freedom to share and change the works.""", True, 5700),
     Template("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", True),
     Template("MIT", "Released under the MIT License."),
@@ -69,6 +70,8 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     Template("proprietary", "Copyright. All rights reserved."),
 )
 THRESHOLD = 0.6
+#: A license file is one of whose tokens the license's body makes up this share at least.
+COVERS = 0.5
 TOKEN = re.compile(r"[a-z0-9]+")
 #: Distinct tokens that a task counts before it passes them on.
 HELD_TOKENS = 1 << 18
@@ -101,7 +104,7 @@ class Matcher:
     """Templates as weighted vectors, their key tokens, and the blocks of a text that may be like them."""
 
     def __init__(self, templates: tuple[Template, ...], counts: Mapping[str, int], total: int, threshold: float) -> None:
-        self.threshold = threshold
+        self.threshold, self.templates = threshold, templates
         self.idf = {t: math.log((total + 1) / (counts.get(t, 0) + 1)) + 1 for x in templates for t in tokens(x.text)}
         self.vectors = [Counter(tokens(x.text)) for x in templates]
         self.sizes = [sum(v.values()) for v in self.vectors]
@@ -134,12 +137,12 @@ class Matcher:
         return out
 
     def candidates(self, text: str | None) -> list[tuple[int, int, int, float, float, list[tuple[str, int]], bool]]:
-        """(template, first line, last line, product, squared norm of the known tokens, the other tokens, is whole) of the blocks that can reach the threshold."""
+        """(template, first line, last line, product, squared norm of the known tokens, the other tokens, is a license file's) of the blocks that can reach the threshold."""
         text = (text or "").lower()
         if self.keys.keys().isdisjoint(TOKEN.findall(text)):
             return []
         lines = [TOKEN.findall(x) for x in text.split("\n")]
-        out = []
+        total, out = sum(map(len, lines)), []
         for k, a, b in sorted(self.blocks(lines)):
             counts = Counter(t for line in lines[a : b + 1] for t in line)
             product = sum(n * counts.get(t, 0) * self.idf[t] ** 2 for t, n in self.vectors[k].items()) / self.norms[k]
@@ -147,12 +150,15 @@ class Matcher:
             others = sorted((t, n) for t, n in counts.items() if t not in self.idf)
             # A token weighs 1 at least.
             if product >= self.threshold * math.sqrt(known + sum(n * n for _, n in others)) * (1 - 1e-12):
-                out.append((k, a, b, product, known, others, a == 0 and b == len(lines) - 1))
+                # Of a license known by its beginning, what follows it counts as license up to its length.
+                covered = sum(counts.values()) + max(0, self.templates[k].length - self.sizes[k])
+                whole = (a == 0 and b == len(lines) - 1) or (self.templates[k].body and covered >= COVERS * total)
+                out.append((k, a, b, product, known, others, whole))
         return out
 
 
 def own_licenses(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, dir, own, own_score, line (1-based, the block's first) and whole (the text is a license file) for every row. files: doc_id, dir, text.
+    """doc_id, dir, own, own_score, line (1-based, the block's first), file_score and file_license (the license it is the file of, or null) for every row. files: doc_id, dir, text.
 
     The templates, a parameter of the job, go to every task with their tokens' weights.
     """
@@ -177,13 +183,17 @@ def own_licenses(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     blocks = stage(blocks, "license-blocks")
     weight = F.log(F.lit(total + 1.0) / (F.col("n") + 1.0)) + 1
     rest = blocks.select("rid", "no", F.explode("others").alias("o")).select("rid", "no", F.col("o.t").alias("t"), F.col("o.n").alias("m"))
-    rest = rest.join(counts, "t").groupBy("rid", "no").agg(F.sum((F.col("m") * weight) ** 2).alias("rest"))
+    # A word that many texts hold is one key of many rows, so such words are broadcast.
+    pairs = counts.agg(F.sum("n")).first()[0] or 0
+    rest = join_counted(rest, counts.withColumn("texts", F.col("n")), ["t"], "texts", pairs).groupBy("rid", "no").agg(F.sum((F.col("m") * weight) ** 2).alias("rest"))
     hits = blocks.join(rest, ["rid", "no"], "left").withColumn("score", F.round(F.col("product") / F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0))), 9)).filter(F.col("score") >= threshold)
-    about = F.create_map(*(x for k, t in enumerate(templates) for x in (F.lit(k), F.struct(F.lit(t.license).alias("license"), F.lit(t.body).alias("body")))))
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("a"), about[F.col("k")]["license"].alias("license"))).alias("best")
-    hits = hits.groupBy("rid").agg(best, F.max(F.col("whole") | about[F.col("k")]["body"]).alias("whole"))
+    names_of = F.create_map(*(F.lit(x) for k, t in enumerate(templates) for x in (k, t.license)))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("a"), names_of[F.col("k")].alias("license"))).alias("best")
+    # A license file holds for its directory by the block that makes it one.
+    file = F.min(F.when(F.col("whole"), F.struct((-F.col("score")).alias("s"), F.col("a"), names_of[F.col("k")].alias("license")))).alias("file")
+    hits = hits.groupBy("rid").agg(best, file)
     out = rows.select("rid", "doc_id", "dir").join(hits, "rid", "left")
-    return out.select("doc_id", "dir", F.col("best.license").alias("own"), (-F.col("best.s")).alias("own_score"), (F.col("best.a") + 1).cast("long").alias("line"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    return out.select("doc_id", "dir", F.col("best.license").alias("own"), (-F.col("best.s")).alias("own_score"), (F.col("best.a") + 1).cast("long").alias("line"), (-F.col("file.s")).alias("file_score"), F.col("file.license").alias("file_license"))
 
 
 def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -195,7 +205,7 @@ def scan(files: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshol
     columns are ignored.
     """
     own = stage(own_licenses(files.withColumn("dir", F.coalesce("dir", F.lit(""))), templates, threshold), "own-licenses")
-    licensed = own.filter("whole").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "doc_id", "own"))["own"].alias("dir_license"))
+    licensed = own.filter("file_license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("file_score")).alias("s"), "doc_id", "file_license"))["file_license"].alias("dir_license"))
     dirs = own.select("dir").distinct()
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))

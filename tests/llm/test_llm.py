@@ -524,7 +524,7 @@ def brute_licenses(rows, templates, threshold):
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     out, of_dir = [], {}
     for d, place, text in rows:
-        lines, hits, file = [names(x) for x in (text or "").split("\n")], [], False
+        lines, hits, files = [names(x) for x in (text or "").split("\n")], [], []
         for t in templates:
             v = vector(names(t.text))
             blocks = {(0, len(lines) - 1)}
@@ -539,11 +539,13 @@ def brute_licenses(rows, templates, threshold):
                 score = round(sum(x * v.get(k, 0) for k, x in w.items()) / (norm(v) * norm(w)), 9) if w else 0
                 if score >= threshold:
                     hits.append((-score, i, t.license))
-                    file |= t.body or (i, end) == (0, len(lines) - 1)
+                    block = sum(map(len, lines[i : end + 1])) + max(0, t.length - len(names(t.text)))
+                    if (i, end) == (0, len(lines) - 1) or (t.body and 2 * block >= sum(map(len, lines))):
+                        files.append(hits[-1])
         best = min(hits, default=None)
         out.append((d, place or "", best))
-        if file:
-            of_dir.setdefault(place or "", []).append((best[0], d, best[2]))
+        if files:
+            of_dir.setdefault(place or "", []).append((min(files)[0], d, min(files)[2]))
     final = []
     for d, place, best in out:
         ups = [("/".join(place.split("/")[:k])) for k in range(len(place.split("/")), -1, -1)]
@@ -571,6 +573,8 @@ def license_rows():
         (1, "a", long(body["MIT"])), (2, "a/b", prose(1, 900) + "\n" + wrapped(notice["GPL-3.0"]) + "\n" + prose(2, 900)), (3, "a/b", prose(3, 50)), (4, "a/b/c", long(body["GPL-3.0"]) + prose(7, 3000)),
         (5, "a/b/c/d", prose(4, 60)), (6, "z", prose(5, 60)), (7, None, None), (8, "a/bb", ""), (9, "a/b", prose(3, 50)), (10, "y", long(body["Apache-2.0"]) + prose(8, 2000)), (11, "y/k", wrapped(notice["Apache-2.0"], 40) + "\ncode = 1"),
         (12, "x", long(body["BSD-3-Clause"])), (13, "x/y/z", prose(9, 30)), (14, "w", "Released under the MIT License."), (15, "w/v", "one\ntwo"), (15, "w/v", "one\ntwo"),
+        (16, "p", long(body["MIT"]) + "\n".join(f"def f{i}(x): return x + {i}" for i in range(400))), (17, "p", prose(10, 40)), (18, "p/vendor/q", prose(11, 40)),
+        (19, "v", long(body["GPL-3.0"]) + prose(12, 15000)), (20, "v", prose(13, 40)),
     ]
 
 
@@ -585,6 +589,8 @@ def test_license_scan(spark):
     of = {g[0]: (g[1], g[4], g[5]) for g in got}
     assert [of[k][1] for k in (1, 2, 3, 4, 5, 10, 11, 12, 13)] == ["MIT", "GPL-3.0", "MIT", "GPL-3.0", "GPL-3.0", "Apache-2.0", "Apache-2.0", "BSD-3-Clause", "BSD-3-Clause"]
     assert of[5][2] == "a/b/c" and of[13][2] == "x" and of[6] == (None, None, None) and of[15] == (None, "MIT", "w")
+    # A header in a long source file is its own license, and nobody else's.
+    assert [of[k][1] for k in (16, 17, 18, 19, 20)] == ["MIT", None, None, "GPL-3.0", None]
 
 
 # 9
