@@ -5,10 +5,13 @@ Everything per symbol stands in one window specification, so the panel costs one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, WindowSpec, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from fathom.schema import require
 
+
 def by_symbol() -> WindowSpec:
     """A symbol's rows by date."""
     return W.partitionBy("symbol").orderBy("date")
@@ -47,13 +50,34 @@ def factor_panel(quotes: DataFrame, market: DataFrame) -> DataFrame:
     return own.join(F.broadcast(market), "date").select(*cols, *(c for c in ("sector",) if c in quotes.columns))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, on: str, right_on: str, columns: list[str]) -> DataFrame:
+def by_month(at: Column) -> Column:
+    return F.date_trunc("month", at)
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, on: str, right_on: str, columns: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with the columns of the last row of right of the same key whose right_on is at or before left's `on`.
 
-    One union and one window: no range join. Ties of right_on are broken by the columns themselves, the largest counts.
+    A union and windows, no range join. A key's history is cut into buckets, which must rise with time: months for dates
+    and timestamps, none for other types unless given. What each bucket ends with is carried into later ones over
+    one row a key and bucket, so only the rows of one key and bucket are sorted in one task. Ties of right_on are broken by the columns
+    themselves in their order, the largest counts. A null key is a key like any other; a null time in right counts never, one in left finds nothing.
     """
-    a = left.select(*left.columns, F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<" + ",".join(f"{c}:{dict(right.dtypes)[c]}" for c in columns) + ">").alias("_v"))
-    b = right.select(*(F.col(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in left.dtypes), F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.struct(*columns).alias("_v"))
-    w = W.partitionBy(key).orderBy("_at", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    out = a.union(b).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    return out.select(*left.columns, *(F.col(f"_last.{c}").alias(c) for c in columns))
+    kind = f"struct<{','.join(f'`{c}`:{dict(right.dtypes)[c]}' for c in columns)}>"
+    a = left.select(F.struct(*left.columns).alias("_row"), F.col(key).alias("_key"), F.col(on).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"))
+    no_row = F.lit(None).cast(a.schema["_row"].dataType).alias("_row")
+    b = right.filter(F.col(right_on).isNotNull()).select(no_row, F.col(key).alias("_key"), F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.struct(*columns).alias("_v"))
+    rows = a.union(b)
+    if bucket is None and dict(left.dtypes)[on].startswith(("date", "timestamp")):
+        bucket = by_month
+    group = ["_key"]
+    if bucket is not None:
+        group = ["_key", "_bucket"]
+        rows = rows.withColumn("_bucket", bucket(F.col("_at")))
+        ends = rows.groupBy(*group).agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_v"))).alias("_end"))
+        before = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select("_key", "_bucket", F.last("_end", ignorenulls=True).over(before)["_v"].alias("_v")).filter("_v is not null")
+        # Without a time it comes before all rows of its bucket.
+        rows = rows.unionByName(carried.withColumn("_side", F.lit(-1)), allowMissingColumns=True)
+    w = W.partitionBy(*group).orderBy("_at", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    return out.select("_row.*", *(F.col("_last")[c].alias(c) for c in columns))

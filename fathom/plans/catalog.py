@@ -701,6 +701,20 @@ def factor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fl.factor_inputs(df).select("cik", "period_end", *RATIOS), *RATIOS, digits=6)
 
 
+@query(
+    f"""WITH {Q}, {PICKED}, i AS (SELECT *, period_end + 45 AS filed, {', '.join(f'{v} AS {k}' for k, v in INPUTS.items())} FROM stm),
+k AS (SELECT q.symbol, q.date, q.close AS price, i.*, row_number() OVER (PARTITION BY q.symbol, q.date ORDER BY i.filed DESC NULLS LAST) AS k FROM quotes q LEFT JOIN i ON i.cik = lpad(q.symbol, 10, '0') AND i.filed <= q.date)
+SELECT symbol, date, period_end, filed, {', '.join(r(v.replace('100.0', 'price'), k, 6) for k, v in RATIOS.items())} FROM k WHERE k = 1"""
+)
+def statement_ratios_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each price with the ratios of the newest statement filed by then, 45 days after its last order; supplier and customer of one number are one company."""
+    known = facts(spark, sf_dir).withColumn("filed", F.date_add("period_end", 45))
+    own = fl.statements(known, fl.tag_dim(spark)).withColumns({k: F.expr(v) for k, v in INPUTS.items()})
+    links = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"))
+    prices = quotes(spark, sf_dir).select("symbol", "date", F.col("close").alias("price"))
+    return rounded(fl.ratios_as_of(prices, own, links).select("symbol", "date", "period_end", "filed", *RATIOS), *RATIOS, digits=6)
+
+
 @query(f"WITH {PICKED} SELECT a.cik, a.period_end, round(CASE WHEN b.revenue > 0 THEN (a.revenue - b.revenue) / b.revenue END, 8) AS revenue_growth, round(CASE WHEN b.net_income > 0 THEN (a.net_income - b.net_income) / b.net_income END, 8) AS earnings_growth FROM stm a LEFT JOIN stm b ON a.cik = b.cik AND a.period_type = b.period_type AND a.fiscal_quarter = b.fiscal_quarter AND a.fiscal_year = b.fiscal_year + 1")
 def factor_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fl.growth_inputs(_statements(spark, sf_dir)).select("cik", "period_end", "revenue_growth", "earnings_growth"), "revenue_growth", "earnings_growth")

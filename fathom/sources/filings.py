@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from fathom.errors import ParseError
 from fathom.functions.columns import ratio
+from fathom.operators.panel import as_of
 from fathom.schema import METRICS
 
 FACT = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string>"
@@ -80,13 +81,13 @@ def _facts(rows: DataFrame, strict: bool) -> DataFrame:
     to_date = (lambda c: F.to_date(c)) if strict else (lambda c: F.try_to_date(c))
     out = rows.select(
         "cik", "concept", F.col("f.val").alias("value"), "unit", to_date(F.col("f.end")).alias("period_end"), to_date(F.col("f.start")).alias("period_start"), F.col("f.form").alias("form"),
-        F.col("f.fy").alias("fiscal_year"), F.col("f.fp").alias("fiscal_period"), "pos",
+        F.col("f.fy").alias("fiscal_year"), F.col("f.fp").alias("fiscal_period"), "pos", F.try_to_date(F.col("f.filed")).alias("filed"),
     )
     return out if strict else out.filter("period_end is not null")
 
 
 def flatten_company_facts(payload: DataFrame, strict: bool = False) -> DataFrame:
-    """cik, concept (taxonomy:tag), value, unit, period_end, period_start, form, fiscal_year, fiscal_period, pos of every fact.
+    """cik, concept (taxonomy:tag), value, unit, period_end, period_start, form, fiscal_year, fiscal_period, pos, filed of every fact.
 
     strict fails on a bad date; otherwise such facts are left out.
     """
@@ -180,17 +181,18 @@ def extract(facts: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def statements(facts: DataFrame, dim: DataFrame) -> DataFrame:
-    """A row per company, fiscal year, fiscal period and form (10-Q, 10-K) with period_end (the latest), period_type and the 18 metrics."""
+    """A row per company, fiscal year, fiscal period and form (10-Q, 10-K) with period_end (the latest), period_type and the 18 metrics; and filed, the day from which all its facts are known, where the facts have that."""
     own = facts.filter(period_type(F.col("form")).isNotNull())
     picked = extract(own, dim)
     wide = picked.groupBy("cik", "fiscal_year", "fiscal_period", "form").agg(*(F.max(F.when(F.col("name") == n, F.col("value"))).alias(m) for n, m in METRIC_OF.items()))
-    ends = own.groupBy("cik", "fiscal_year", "fiscal_period", "form").agg(F.max("period_end").alias("period_end"))
+    known = ["filed"] if "filed" in facts.columns else []
+    ends = own.groupBy("cik", "fiscal_year", "fiscal_period", "form").agg(*(F.max(c).alias(c) for c in ("period_end", *known)))
     keys = ["cik", "fiscal_year", "fiscal_period", "form"]
     key_match = [ends[k].eqNullSafe(wide[k]) for k in keys]
-    df = ends.join(wide, key_match, "left").select(*(ends[k] for k in keys), "period_end", *METRIC_OF.values())
+    df = ends.join(wide, key_match, "left").select(*(ends[k] for k in keys), "period_end", *known, *METRIC_OF.values())
     df = df.withColumn("free_cash_flow", F.col("operating_cash_flow") - F.col("capital_expenditures")).withColumn("shares_outstanding", F.coalesce("shares_outstanding", "_shares_basic"))
     quarter = F.when(F.col("fiscal_period").rlike("^Q[0-9]"), F.substring("fiscal_period", 2, 1).cast("int"))
-    return df.select("cik", "period_end", period_type(F.col("form")).alias("period_type"), "fiscal_year", quarter.alias("fiscal_quarter"), *METRICS)
+    return df.select("cik", "period_end", period_type(F.col("form")).alias("period_type"), "fiscal_year", quarter.alias("fiscal_quarter"), *known, *METRICS)
 
 
 def latest_statements(df: DataFrame, kind: str) -> DataFrame:
@@ -213,6 +215,18 @@ def factor_inputs(df: DataFrame, nan: bool = False) -> DataFrame:
     })
 
 
+def ratios_as_of(prices: DataFrame, statements: DataFrame, links: DataFrame, kind: str | None = None) -> DataFrame:
+    """prices (symbol, date, price) with the columns and ratios of the newest statement known on that day; further columns stay.
+
+    statements are those of statements() with filed, of one kind (Q, A) or both; links (symbol, cik) says whose they are, several symbols of a company each get them.
+    Of statements filed on one day the latest period counts. A statement without filed is never known; before the first all its columns are null.
+    """
+    own = statements if kind is None else statements.filter(F.col("period_type") == kind)
+    own = own.join(links.select("symbol", "cik").distinct(), "cik")
+    carried = ["period_end", *(c for c in own.columns if c not in ("symbol", "period_end", *prices.columns))]
+    return factor_inputs(as_of(prices, own, "symbol", "date", "filed", carried))
+
+
 def growth_inputs(df: DataFrame) -> DataFrame:
     """df with revenue_growth, earnings_growth over the same company and period a fiscal year before; null unless the prior is above 0."""
     keys = ["cik", "period_type", "fiscal_quarter"]
