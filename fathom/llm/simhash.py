@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.llm._common import drop_keys, group_key, stage, table, with_key
-from fathom.llm.components import components
+from fathom.llm.components import components, joined
 
 SHINGLE = 4
 SEED = 42
@@ -485,7 +485,7 @@ def similar(docs: DataFrame, *keep: str) -> DataFrame:
         members = members.join(nodes.select("node", "fp"), "node").join(packed, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = members.select("bucket", "node", "root", "fp", "z").repartition(F.col("bucket")).sortWithinPartitions("bucket", "node").mapInArrow(_settle, "a long, b long")
         more = stage(more.distinct(), "further-links")
-        roots = components(found.filter("alike").select("a", "b").union(more))
+        roots = joined(roots, more)
     return rows.join(roots, "node", "left").select("doc_id", *keep, F.coalesce("root", "node").alias("root"))
 
 

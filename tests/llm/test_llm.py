@@ -242,6 +242,18 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+@pytest.mark.parametrize("hot_rows", [256, 2])
+def test_further_edges_join_components(spark, monkeypatch, hot_rows):
+    from fathom.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_ROWS", hot_rows)  # so that roots of few nodes count as hot, too
+    first = [(1, 2), (2, 3), (3, 4), (10, 11), (20, 21), (-5, 30)]
+    for more in ([], [(4, 11)], [(11, 20), (3, -5), (40, 41), (41, 2), (50, 51), (21, 20)]):
+        frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        whole = sorted(map(tuple, components.components(frame(first + more)).collect()))
+        assert sorted(map(tuple, components.joined(components.components(frame(first)), frame(more)).collect())) == whole
+
+
 def test_keep_one(docs):
     """One row a group of texts with a similarity of 0.8; these texts are all well above it or below."""
     kept = simhash.keep_one(clash(docs)).select("doc_id", "text").collect()
