@@ -70,9 +70,29 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_fx_row"), *named, group_key("doc_id").alias("_fx_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_fx_th"))
 
 
+#: Words of 64 bits in a sieve, at most: what is broadcast of it is bounded, whatever the number of its keys.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows that may have one of the keys, and those that surely have none; an exact join of the former is still to come, and the latter need not move.
+
+    Each key sets a bit, by hash, of a broadcast table. With very many keys most bits are set and most rows are let through: more is moved then, but nothing is lost.
+    """
+    slot = F.pmod(F.xxhash64(F.lit(5), *on), F.lit(64 * SIEVE_WORDS))
+    bit = F.expr("shiftleft(1L, cast(_fx_slot % 64 as int))")
+    set_bits = keys.select(slot.alias("_fx_slot")).groupBy(F.shiftright("_fx_slot", 6).alias("_fx_word")).agg(F.bit_or(bit).alias("_fx_bits"))
+    marked = rows.withColumn("_fx_slot", slot).withColumn("_fx_word", F.shiftright("_fx_slot", 6)).join(F.broadcast(set_bits), "_fx_word", "left")
+    may = F.coalesce(F.col("_fx_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.filter(may).select(*rows.columns), marked.filter(~may).select(*rows.columns)
+
+
 def drop_keys(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of with_key() whose key is not in gone. What is to go is a written table, so Spark knows its size and broadcasts it only where small."""
-    return keyed.join(stage(gone.select("_fx_k", "_fx_th").distinct(), "gone"), ["_fx_k", "_fx_th"], "left_anti")
+    """The rows of with_key() whose key is not in gone. What is to go is a written table, so Spark knows its size; only rows that a sieve of its keys lets through are joined with it."""
+    keys = ["_fx_k", "_fx_th"]
+    gone = stage(gone.select(*keys).distinct(), "gone")
+    maybe, stay = sieve(keyed, gone, keys)
+    return stay.union(maybe.join(gone, keys, "left_anti").select(*keyed.columns))
 
 
 #: Keys with more rows than this may meet their side by broadcast instead of in one task.

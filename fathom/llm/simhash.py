@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathom.llm._common import drop_keys, group_key, stage, table, with_key
+from fathom.llm._common import group_key, sieve, stage, table, with_key
 from fathom.llm.components import components, joined
 
 SHINGLE = 4
@@ -440,8 +440,8 @@ def _confirmed(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> tuple[Da
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = stage(nodes.drop("fp").join(ends, "node", "left_semi"), "candidates")
-    # Texts are compressed before they move. A row that repeats wholly gives its node's text again.
-    packed = texts.mapInArrow(run, "_fx_nk string, _fx_nh long, z binary")
+    # Only texts that a sieve of the candidates lets through move, compressed. A row that repeats wholly gives its node's text again.
+    packed = sieve(texts, named, ["_fx_nk", "_fx_nh"])[0].mapInArrow(run, "_fx_nk string, _fx_nh long, z binary")
     packed = stage(packed.join(named, ["_fx_nk", "_fx_nh"]).select("node", "z").dropDuplicates(["node"]), "candidate-texts")
     both = pairs.join(packed.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(packed.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
     return stage(both.select("a", "b", "za", "zb").mapInArrow(_alike, "a long, b long, alike boolean"), "confirmed"), packed
@@ -495,11 +495,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = stage(similar(keyed, "_fx_k", "_fx_th"), "near-duplicates")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_fx_th", "_fx_k")
     stays = found.groupBy("root").agg(F.min(order).alias("s")).select("root", "s._fx_k", "s._fx_th", F.lit(True).alias("stays"))
-    gone = found.join(stays, ["root", "_fx_k", "_fx_th"], "left").filter("stays is null")
-    kept = drop_keys(keyed, gone)
+    keys = ["_fx_k", "_fx_th"]
+    gone = stage(found.join(stays, ["root", *keys], "left").filter("stays is null").select(*keys).distinct(), "gone")
     # Rows that repeat wholly have one key: of those that stay, one row does.
-    many = stage(found.groupBy("_fx_k", "_fx_th").count().filter("count > 1").select("_fx_k", "_fx_th"), "repeated-rows")
-    if not many.isEmpty():
-        one = kept.join(many, ["_fx_k", "_fx_th"], "left_semi").groupBy("_fx_k", "_fx_th").agg(F.first("_fx_row").alias("_fx_row"))
-        kept = drop_keys(kept, many).select("_fx_row").union(one.select("_fx_row"))
-    return kept.select("_fx_row.*")
+    many = stage(found.groupBy(*keys).count().filter("count > 1").select(*keys), "repeated-rows")
+    maybe, kept = sieve(keyed, gone.union(many), keys)
+    left = maybe.join(gone, keys, "left_anti")
+    kept = kept.select("_fx_row")
+    if many.isEmpty():
+        return kept.union(left.select("_fx_row")).select("_fx_row.*")
+    one = left.join(many, keys, "left_semi").groupBy(*keys).agg(F.first("_fx_row").alias("_fx_row"))
+    return kept.union(left.join(many, keys, "left_anti").select("_fx_row")).union(one.select("_fx_row")).select("_fx_row.*")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from fathom.llm import components, decontaminate, license_scan, line_dedup, lm_score, mixing, quality, sharding, simhash, substring_dedup, url_filter
-from fathom.llm._common import group_key, running
+from fathom.llm._common import group_key, running, sieve
 
 from .conftest import CLASHES, awkward, clash, prose
 
@@ -263,6 +263,46 @@ def test_keep_one(docs):
     assert set(ids) == set(want) and max(ids.values()) == 1
 
 
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_keep_one_moves_few_texts(spark, tmp_path):
+    """Texts without a near-duplicate stay where they are, even where no list of keys is small enough for Spark's own broadcasts."""
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(rng.bytes(8).hex() for _ in range(400))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(12)] + [rows[20], rows[21]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(4).write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        simhash.keep_one(spark.read.parquet(str(tmp_path / "docs"))).write.parquet(str(tmp_path / "kept"))
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "kept")).collect())) == sorted(rows[:300])
+    assert moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("sieve_words", [1 << 18, 1])
+def test_sieve(spark, monkeypatch, sieve_words):
+    """No key is lost, however full the table of bits, and a row is on one side."""
+    from fathom.llm import _common
+
+    monkeypatch.setattr(_common, "SIEVE_WORDS", sieve_words)
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.lit("x").alias("more"))
+    keys = spark.range(0, 3000, 7).select(F.col("id").alias("k"))
+    maybe, not_there = ({r["k"] for r in part.collect()} for part in sieve(rows, keys, ["k"]))
+    assert not maybe & not_there and maybe | not_there == set(range(2000)) and set(range(0, 2000, 7)) <= maybe
+    assert len(maybe) < 290 if sieve_words > 1 else len(maybe) > 1500
+    assert sieve(rows, keys.limit(0), ["k"])[0].isEmpty() and sieve(rows, keys, ["k"])[1].columns == rows.columns
+
+
 @pytest.mark.parametrize("bucket", [4096, 4])
 def test_similar(spark, monkeypatch, bucket):
     """Near copies with one word in 150 changed each (a similarity of 0.87) meet; fresh texts stay apart; with and without tiles."""
