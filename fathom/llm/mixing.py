@@ -2,11 +2,12 @@
 
 Slot i of the schedule has the golden-ratio point frac(i * 0.618...), which falls into one source's
 interval of the cumulative targets. Slots are ranked within their source, and the ranks share the source's
-target in blocks of equal tokens: rank r takes block r of the source's shuffled stream, read on
-from its start up to MAX_EPOCHS times, the last block as long as what is left. So each source gives its target to the word, however small it is.
+target in blocks of tokens: rank r takes block r of the source's shuffled stream, and the blocks differ by a word at most.
+In the stream each document stands as often as its source is read, up to MAX_EPOCHS times, and once more up to the place where the last reading
+ends; its repeats follow each other. So each source gives its target to the word, however small it is.
 
-The slots are the order of the mix: a document stands where the first slot that reads it stands. As the points are spread evenly, every
-beginning of that order holds the sources within a few blocks of their shares.
+The slots are the order of the mix: a document, with its repeats, stands where the first slot that reads it stands. As the points are spread evenly, every
+beginning of that order holds the sources near their shares: within a few blocks, and the words of the long documents that reach past its end.
 """
 
 from __future__ import annotations
@@ -88,17 +89,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
         return wide.select(*keep, "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     plan = stage(schedule(docs.sparkSession, goal, min(slots, total)), "mix-schedule")
     words_sql = f"least(floor(target + 0.5), source_size * {max_epochs})"
-    # A source's words to take, and the words of its blocks: the same for each of its slots, the last one's remainder apart.
-    blocks = goal.join(plan.groupBy("_fx_g").agg(F.count(F.lit(1)).alias("_fx_slots")), "_fx_g").select("_fx_g", F.expr(words_sql).alias("_fx_t"), F.expr(f"({words_sql} + _fx_slots - 1) div _fx_slots").alias("_fx_block"))
+    # A source's words to take, and its slots: rank r takes its words from r * words div slots on, so the last slot ends with the last word.
+    blocks = goal.join(plan.groupBy("_fx_g").agg(F.count(F.lit(1)).alias("_fx_slots")), "_fx_g").select("_fx_g", F.expr(words_sql).alias("_fx_t"), "_fx_slots")
     # monotonically_increasing_id is stable here: it numbers a staged table.
     at = running(stage(wide.withColumn("_fx_id", F.monotonically_increasing_id()), "mix-wide"), ["_fx_g"], "_fx_b", ["_fx_h", *keep, "_fx_id"], F.col("size"), "_fx_at")
     at = stage(at, "mix-offsets")
     read = at.filter("size > 0").select("_fx_id", "_fx_g", "_fx_at", "size", "source_size").join(stage(blocks.filter("_fx_t > 0"), "mix-blocks"), "_fx_g")
-    # Each time the stream is read, a document stands one source further on.
-    read = read.withColumn("_fx_lo", F.explode(F.expr("transform(sequence(0L, (_fx_t - 1) div source_size), e -> e * source_size + _fx_at)"))).withColumn("_fx_to", F.expr("least(_fx_lo + size, _fx_t)")).filter("_fx_to > _fx_lo")
-    pieces = read.select("_fx_id", "_fx_g", "_fx_lo", "_fx_to", "_fx_block", F.explode(F.expr("sequence(_fx_lo div _fx_block, (_fx_to - 1) div _fx_block)")).alias("_fx_rank"))
+    # What of the first n words of a source is taken: n in each whole reading, and what the last reading has of them.
+    upto = lambda n: F.expr(f"(_fx_t div source_size) * ({n}) + least({n}, _fx_t % source_size)")
+    read = read.withColumns({"_fx_lo": upto("_fx_at"), "_fx_to": upto("_fx_at + size")}).filter("_fx_to > _fx_lo")
+    # Word x of a source is in block ((x + 1) * slots - 1) div words; decimals, as the product may be past a long.
+    block = lambda x: F.expr(f"(cast({x} + 1 as decimal(19)) * cast(_fx_slots as decimal(18)) - 1) div cast(_fx_t as decimal(19))")
+    start = lambda r: F.expr(f"({r}) * (_fx_t div _fx_slots) + ({r}) * (_fx_t % _fx_slots) div _fx_slots")
+    pieces = read.select("_fx_id", "_fx_g", "_fx_lo", "_fx_to", "_fx_t", "_fx_slots", F.explode(F.sequence(block("_fx_lo"), block("_fx_to - 1"))).alias("_fx_rank"))
     pieces = pieces.join(plan, ["_fx_g", "_fx_rank"])
-    part = F.least(F.col("_fx_to"), (F.col("_fx_rank") + 1) * F.col("_fx_block")) - F.greatest(F.col("_fx_lo"), F.col("_fx_rank") * F.col("_fx_block"))
+    part = F.least(F.col("_fx_to"), start("_fx_rank + 1")) - F.greatest(F.col("_fx_lo"), start("_fx_rank"))
     taken = pieces.groupBy("_fx_id").agg(F.sum(part).alias("_fx_taken"), F.min("slot").alias("first_slot"))
     out = at.join(taken, "_fx_id", "left")
     return out.select(*keep, "source", "size", "source_size", "target", F.coalesce("_fx_taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

@@ -693,6 +693,20 @@ def test_the_schedule_orders_the_mix(spark, monkeypatch):
     assert other["doc_id"].tolist() != got["doc_id"].tolist() and other["taken"].sum() == got["taken"].sum()
 
 
+def test_repeats_do_not_crowd_the_beginning(spark):
+    """A small source, read nearly three times, lies along the whole order, and a document is taken so often as whole and part readings of its source say."""
+    rows = [(i, "w " * (1 + i % 7), "a" if i % 5 == 0 else "b") for i in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slots=400).toPandas()
+    of = got.groupby("source").agg(target=("target", "first"), size=("source_size", "first"))
+    whole = (of["target"] + 0.5).astype(int) // of["size"]
+    times = got["taken"] / got["size"]
+    assert whole["a"] >= 2 and ((times >= got["source"].map(whole)) & (times <= got["source"].map(whole) + 1)).all()
+    assert sum((times % 1) > 0) <= 2  # the last reading ends inside one document of a source at most
+    small = got[got["source"] == "a"].sort_values("first_slot")
+    for part in (0.2, 0.5, 0.8):
+        assert abs(small[small["first_slot"] < 400 * part]["taken"].sum() / small["taken"].sum() - part) < 0.06
+
+
 @pytest.mark.parametrize("sizes", [{"a": 1, "b": 1000, "c": 1, None: 5}, {"a": 10}, {"a": 0, "b": 7}, {"a": 1, "b": 2, "c": 3, "d": 4, "e": 500}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long").withColumn("_fx_g", group_key("source"))
